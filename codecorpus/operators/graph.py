@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.functions.rows import unnest
 from codecorpus.operators.rank import top_k
-from codecorpus.session import checkpointed
+from codecorpus.session import stored
 
 MAX_CYCLE_NODES = 9
 CYCLES_PER_REPO = 10
@@ -93,33 +93,30 @@ def circular_deps(
     cycle still to come is longer, so its first ``k`` are settled.  This bounds dense graphs
     without dropping a result.
     """
-    graph = edges.select("repo", "source", "target").distinct()
-    loops = graph.where(F.col("source") == F.col("target")).select(
-        "repo", F.array("source", "target").alias("cycle")
-    )
-    steps = checkpointed(_core(graph.where(F.col("source") != F.col("target"))))
-    found = checkpointed(loops)
+    graph = stored(edges.select("repo", "source", "target").distinct())
+    loop = F.col("source") == F.col("target")
+    steps = stored(_core(graph.where(~loop)))
+    found = graph.where(loop).select("repo", F.array("source", "target").alias("cycle"))
     open_paths = steps.where(F.col("target") > F.col("source")).select(
         "repo", F.array("source", "target").alias("nodes")
     )
+    start, end = F.col("nodes")[0], F.element_at("nodes", -1)
     for _ in range(max_nodes - 1):
         settled = found.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-        grown = checkpointed(
+        grown = stored(
             open_paths.join(settled.select("repo"), "repo", "left_anti")
-            .withColumn("source", F.element_at("nodes", -1))
+            .withColumn("source", end)
             .join(steps, ["repo", "source"])
-            .where((F.col("target") >= F.col("nodes")[0]))
+            .where(F.col("target") >= start)
             .where(
-                (F.col("target") == F.col("nodes")[0])
-                | ~F.array_contains(F.col("nodes"), F.col("target"))
+                (F.col("target") == start) | ~F.array_contains(F.col("nodes"), F.col("target"))
             )
             .select("repo", F.array_append("nodes", F.col("target")).alias("nodes"))
         )
-        closed = F.element_at("nodes", -1) == F.col("nodes")[0]
-        found = checkpointed(
-            found.unionByName(grown.where(closed).select("repo", F.col("nodes").alias("cycle")))
+        found = found.unionByName(
+            grown.where(end == start).select("repo", F.col("nodes").alias("cycle"))
         )
-        open_paths = grown.where(~closed)
+        open_paths = grown.where(end != start)
         if open_paths.isEmpty():
             break
     nodes = (F.size("cycle") - 1).alias("nodes")

@@ -7,6 +7,7 @@ compared with SQL: lists are joined to text and ratios are scaled to whole numbe
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,16 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, folder: build(Tables(spark, folder))
+    QUERIES[build.__name__] = lambda spark, folder: build(_tables(spark, folder))
     return build
 
 
+@lru_cache(maxsize=4)
+def _tables(spark: SparkSession, folder: str) -> Tables:
+    """Lazy tables of one folder, shared by the queries of a session."""
+    return Tables(spark, folder)
+
+
 def listed(column: str) -> Column:
     return F.concat_ws("|", F.col(column)).alias(column)
 
@@ -225,7 +232,8 @@ def flt3_search_filters(t: Tables) -> DataFrame:
         "repo", "path", "line_no", F.col("token").alias("w")
     )
     found = kept.join(words.distinct(), ["repo", "path", "line_no"]).join(wanted, "w")
-    return search.search_filters(found).select("query_id", "repo", "path", "line_no", "w")
+    kept = search.search_filters(found).select("query_id", "repo", "path", "line_no", "w")
+    return kept.distinct()
 
 
 @query

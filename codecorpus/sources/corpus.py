@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codecorpus.functions import dims, paths
 from codecorpus.functions.rows import computed, unnest
 from codecorpus.functions.text import glob_to_regex, is_blank, is_comment, let, split_lines, strip
-from codecorpus.session import broadcast_if_small, checkpointed
+from codecorpus.session import broadcast_if_small, stored
 
 
 def scan_corpus(
@@ -198,7 +198,7 @@ def incremental_scan(
     """
     hashed = content_hash(raw_files)
     keys = hashed.select("repo", "path", "content_sha")
-    chosen = checkpointed(
+    chosen = stored(
         keys.join(known.select("content_sha"), "content_sha", "left_anti")
         .groupBy("content_sha")
         .agg(F.min(F.struct("repo", "path")).alias("file"))
