@@ -7,12 +7,14 @@ input, not any operator.
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.plans.analysis import CorpusAnalysis
+from codecorpus.session import shared_folder
 
 
 def _join(*parts: str) -> str:
@@ -257,8 +259,8 @@ SEARCH = {
         f"""when 1 then concat('"', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), '" ', """
         f"""split_part(text, ' ', 5)) """
         f"when 2 then concat({_WORDS}, ' lang:Mark in:doc_1') "
-        f"""when 3 then 'api token "password =" in:m lang:x lang:python' """
-        f"else concat('test handler type:function ', {_WORDS}) end"
+        f"""when 3 then 'password url "hunter" in:m lang:x lang:python' """
+        f"else concat('test handler f', item_id * 25, ' type:function ', {_WORDS}) end"
     ),
 }
 DERIVED["searches"] = f"select {_columns(SEARCH)} from benchmark"
@@ -362,9 +364,19 @@ class Tables:
     def whole(self) -> CorpusAnalysis:
         return CorpusAnalysis(self.raw(), self.commits(), self.as_of())
 
+    @cache
+    def whole_stored(self) -> CorpusAnalysis:
+        """The same with files and structure stored: for results that combine several tables."""
+        return self.whole().store(self._store())
+
     @cache
     def source(self) -> CorpusAnalysis:
-        return CorpusAnalysis(self.raw_code(), self.commits(), self.as_of())
+        """The source repositories alone, with files and structure stored."""
+        lazy = CorpusAnalysis(self.raw_code(), self.commits(), self.as_of())
+        return lazy.store(self._store())
+
+    def _store(self) -> str:
+        return f"{shared_folder(self.spark)}/codecorpus-{uuid.uuid4().hex}"
 
     @cache
     def searches(self) -> DataFrame:

@@ -55,9 +55,9 @@ class CorpusAnalysis:
     def store(self, path: str) -> CorpusAnalysis:
         """The same analysis on stored ``files`` and ``modules``: contents are parsed once."""
         spark = self.raw_files.sparkSession
-        self.files.write.mode("overwrite").parquet(f"{path}/files")
+        self.files.write.parquet(f"{path}/files")
         files = spark.read.parquet(f"{path}/files")
-        extract.extract_modules(files).write.mode("overwrite").parquet(f"{path}/modules")
+        extract.extract_modules(files).write.parquet(f"{path}/modules")
         return CorpusAnalysis(
             self.raw_files,
             self.commit_files,

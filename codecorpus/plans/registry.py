@@ -198,7 +198,7 @@ def prj10_classify_entry_point(t: Tables) -> DataFrame:
 
 @query
 def prj11_directory_roles(t: Tables) -> DataFrame:
-    return stats.directory_roles(t.whole().files, t.whole().entry_points)
+    return stats.directory_roles(t.whole_stored().files, t.whole_stored().entry_points)
 
 
 # --- filters ------------------------------------------------------------------------------
@@ -254,12 +254,12 @@ def _functions(t: Tables, *languages: str) -> DataFrame:
 
 
 def _entry_flags(t: Tables, *languages: str) -> DataFrame:
-    rows = t.source().modules("entry_point").where(F.col("language").isin(*languages))
+    rows = t.whole().modules("entry_point").where(F.col("language").isin(*languages))
     return rows.select("repo", "path", "entry_point")
 
 
 def _exports(t: Tables, *languages: str) -> DataFrame:
-    rows = t.source().exports.where(F.col("language").isin(*languages))
+    rows = t.whole().exports.where(F.col("language").isin(*languages))
     return rows.select("repo", "path", "pos", "export_name")
 
 
@@ -281,7 +281,7 @@ def ext2_py_functions(t: Tables) -> DataFrame:
 
 @query
 def ext3_py_classes(t: Tables) -> DataFrame:
-    rows = t.source().classes.where(F.col("language") == "Python")
+    rows = t.whole().classes.where(F.col("language") == "Python")
     return rows.select("repo", "path", "name", "line_no", listed("bases"), listed("decorators"))
 
 
@@ -317,7 +317,7 @@ def ext8_js_functions(t: Tables) -> DataFrame:
 
 @query
 def ext9_js_classes(t: Tables) -> DataFrame:
-    rows = t.source().classes.where(F.col("language").isin(*JS))
+    rows = t.whole().classes.where(F.col("language").isin(*JS))
     return rows.select("repo", "path", "name", "line_no", listed("bases"))
 
 
@@ -566,8 +566,8 @@ def agg13_import_fan_in(t: Tables) -> DataFrame:
 
 @query
 def agg14_language_counts(t: Tables) -> DataFrame:
-    counts = detect.language_counts(t.whole().files)
-    main = t.whole().projects.select("repo", "primary_language")
+    counts = detect.language_counts(t.whole_stored().files)
+    main = t.whole_stored().projects.select("repo", "primary_language")
     return main.join(counts.select("repo", "language", "files"), "repo", "left")
 
 
