@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims, paths
-from codecorpus.functions.rows import unnest
+from codecorpus.functions.rows import computed, unnest
 from codecorpus.functions.text import is_comment, rstrip
 from codecorpus.operators.lines import explode_lines, grouped_counts
 
 RULES = dims.SECURITY_RULES
 
 
-def _rule_struct(rule_id: int, rule: tuple) -> Column:
+def _rule_struct(rule: tuple) -> Column:
     _, severity, category, title, description, _, _ = rule
     return F.struct(
-        F.lit(rule_id).alias("rule_id"),
         F.lit(severity).alias("severity"),
         F.lit(category).alias("category"),
         F.lit(title).alias("title"),
@@ -24,32 +23,54 @@ def _rule_struct(rule_id: int, rule: tuple) -> Column:
     )
 
 
-def match_rules(files: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
+def _folded(text: Column) -> Column:
+    """Lower case for literal searches; the long s also counts as s, as in the patterns."""
+    return F.translate(F.lower(text), chr(0x17F), "s")
+
+
+def _any_hint(folded: Column, hints: list[str]) -> Column:
+    test = F.lit(False)
+    for hint in hints:
+        test = test | folded.contains(hint)
+    return test
+
+
+def match_rules(
+    files: DataFrame, rules: list[tuple] = RULES, hints: list[list[str]] | None = None
+) -> DataFrame:
     """One finding per (line, rule); row-local, no shuffle and no join.
 
     ``rules`` are tuples as in ``dims.SECURITY_RULES``.  Patterns are literals of the plan, so each
-    is compiled once per task.  Few files and few lines match anything: one alternation of all
-    patterns first drops whole files and then lines; only what is left is tested rule by rule.
+    is compiled once per task.  ``hints`` gives, per rule, texts of which a match contains at least
+    one.  Plain substring searches are much cheaper than patterns and few lines contain any hint,
+    so they drop lines first; a pattern only runs where its own hint occurs.
     """
-    text = F.col("text")
-    any_rule = "|".join(f"(?:{rule[0]})" for rule in rules)
-    candidates = explode_lines(files.where(F.col("content").rlike(any_rule)))
-    candidates = candidates.where(text.rlike(any_rule)).select(
-        "*",
-        paths.is_test_for_security(F.col("path")).alias("is_test"),
-        is_comment(text).alias("is_comment"),
+    text, folded = F.col("text"), F.col("folded")
+    if hints is None:
+        hints = dims.SECURITY_RULE_HINTS if rules is RULES else [[""]] * len(rules)
+    every_hint = sorted({hint for group in hints for hint in group})
+    hinted = computed(explode_lines(files), folded=_folded(text)).where(
+        _any_hint(folded, every_hint)
+    )
+    candidates = computed(
+        hinted,
+        is_test=paths.is_test_for_security(F.col("path")),
+        is_comment=is_comment(text),
     )
     found = []
     for rule_id, rule in enumerate(rules):
-        test = text.rlike(rule[0])
+        test = _any_hint(folded, hints[rule_id]) & text.rlike(rule[0])
         if rule[6]:
             test = ~F.col("is_comment") & test
         if rule[5]:
             test = ~F.col("is_test") & test
-        found.append(F.when(test, _rule_struct(rule_id, rule)))
+        found.append(F.when(test, F.lit(rule_id)))
     keep = ["repo", "path", "line_no", "text"]
-    matched = unnest(candidates, keep, F.array_compact(F.array(*found)), "rule")
-    return matched.select("repo", "path", "line_no", "rule.*", rstrip(text).alias("line_text"))
+    matched = unnest(candidates, keep, F.array_compact(F.array(*found)), "rule_id")
+    details = F.array(*[_rule_struct(rule) for rule in rules])[F.col("rule_id")]
+    return matched.withColumn("rule", details).select(
+        "repo", "path", "line_no", "rule_id", "rule.*", rstrip(text).alias("line_text")
+    )
 
 
 def findings_min_severity(findings: DataFrame, least: str) -> DataFrame:

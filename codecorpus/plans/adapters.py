@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.plans.analysis import CorpusAnalysis
 from codecorpus.session import shared_folder
+from codecorpus.sources.corpus import spread
 
 
 def _join(*parts: str) -> str:
@@ -275,7 +276,9 @@ class Tables:
 
     @cache
     def shared(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Tables with text: the work per row is large, so few row groups must not mean few tasks.
+        return spread(rows) if name in ("documents", "pages", "part") else rows
 
     @cache
     def code_base(self) -> DataFrame:

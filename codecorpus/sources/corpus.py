@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims, paths
-from codecorpus.functions.rows import computed, unnest
+from codecorpus.functions.rows import unnest
 from codecorpus.functions.text import glob_to_regex, is_blank, is_comment, let, split_lines, strip
 from codecorpus.session import broadcast_if_small, stored
 
@@ -38,6 +38,16 @@ def scan_corpus(
     return reader.load(root).select(*columns)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores.
+
+    Only a source with fewer splits than cores (small, or stored as one row group) is moved; a
+    large corpus has many splits and stays where it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def filter_depth(raw_files: DataFrame, max_depth: int = dims.MAX_DEPTH) -> DataFrame:
     """Files with at most ``max_depth`` directories above them."""
     return raw_files.where(F.size(F.split("path", "/")) - 1 <= max_depth)
@@ -151,7 +161,7 @@ def file_facts(texts: DataFrame) -> DataFrame:
         F.col("size_bytes").cast("long").alias("size_bytes"),
         "content",
     )
-    counted = computed(named, n=count_lines(F.col("content")))
+    counted = named.withColumn("n", count_lines(F.col("content")))
 
     def number(field: str, alias: str) -> Column:
         return F.coalesce(F.col(f"n.{field}"), F.lit(0)).alias(alias)
@@ -177,9 +187,10 @@ def build_files(
     kept = filter_gitignore(
         filter_default_ignores(filter_depth(raw_files, max_depth)), extra_ignores
     )
-    texts = filter_binary(kept).withColumnRenamed("content", "bytes")
-    texts = computed(texts, content=decode_text(F.col("bytes"), F.col("size_bytes")))
-    return file_facts(texts.drop("bytes"))
+    texts = filter_binary(kept).withColumn(
+        "content", decode_text(F.col("content"), F.col("size_bytes"))
+    )
+    return file_facts(texts)
 
 
 def content_hash(raw_files: DataFrame) -> DataFrame:
