@@ -72,8 +72,13 @@ def prepare_searches(searches: DataFrame) -> DataFrame:
 
 
 def synonym_table(spark: SparkSession) -> DataFrame:
-    rows = [(word, other) for word, others in dims.SYNONYMS.items() for other in others]
-    return spark.createDataFrame(rows, "token string, synonym string")
+    """Fixed pairs of words, as literals of the plan: their size is known when joins are planned."""
+    pairs = [
+        F.struct(F.lit(word).alias("token"), F.lit(other).alias("synonym"))
+        for word, others in dims.SYNONYMS.items()
+        for other in others
+    ]
+    return unnest(spark.range(1), [], F.array(*pairs), "pair").select("pair.*")
 
 
 def expand_synonyms(prepared: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def filter_gitignore(raw_files: DataFrame, extra: list[str] | None = None) -> Da
 
     The globs of a repository (one file of text) are folded into one alternation per level, which
     is joined on ``repo``: one regular expression per row instead of one row per pair of path and
-    glob.  Every ancestor prefix of the path is tested, so an ignored directory hides its subtree.
+    glob.  Reading the globs is a small job of its own, which runs when this is called.  Every ancestor prefix of the path is tested, so an ignored directory hides its subtree.
     """
     globs = ignore_patterns(raw_files, extra)
     one = F.concat(F.lit("(?:"), glob_to_regex(F.col("glob")), F.lit(")"))
@@ -97,11 +97,18 @@ def filter_gitignore(raw_files: DataFrame, extra: list[str] | None = None) -> Da
     ignored = F.exists(parts, lambda p: F.regexp_like(p, F.col("by_name"))) | F.exists(
         prefixes, lambda p: F.regexp_like(p, F.col("by_path"))
     )
-    joined = per_repo_facts(raw_files, per_repo)
+    # Contents must not move for this: the globs are stored, measured and broadcast when small.
+    globs = stored(per_repo)
+    size = globs.agg(F.sum(F.length("by_name") + F.length("by_path"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = raw_files.join(F.broadcast(globs), "repo", "left")
+    else:
+        joined = per_repo_facts(raw_files, globs)
     return joined.where(~F.coalesce(ignored, F.lit(False))).drop("by_name", "by_path")
 
 
 SALTS = 16
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def per_repo_facts(rows: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
