@@ -67,7 +67,8 @@ def match_rules(
         found.append(F.when(test, F.lit(rule_id)))
     keep = ["repo", "path", "line_no", "text"]
     matched = unnest(candidates, keep, F.array_compact(F.array(*found)), "rule_id")
-    details = F.array(*[_rule_struct(rule) for rule in rules])[F.col("rule_id")]
+    # A filter on the details may run before rows without a rule are dropped, hence the lenient get.
+    details = F.get(F.array(*[_rule_struct(rule) for rule in rules]), F.col("rule_id"))
     return matched.withColumn("rule", details).select(
         "repo", "path", "line_no", "rule_id", "rule.*", rstrip(text).alias("line_text")
     )
