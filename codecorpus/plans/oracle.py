@@ -702,8 +702,8 @@ check(
 
 # --- markers and findings -----------------------------------------------------------------
 _MARK = (
-    "upper(regexp_extract(text, '(?i)(?:^|[^\p{L}\p{N}_])(FIXME|BUG|XXX|TODO|HACK|OPTIMIZE|NOTE)"
-    "(?:$|[^\p{L}\p{N}_])', 1))"
+    "upper(regexp_extract(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(FIXME|BUG|XXX|TODO|HACK|OPTIMIZE|NOTE)"
+    "(?:$|[^\\p{L}\\p{N}_])', 1))"
 )
 CTES["markers"] = (
     "select repo, path, line_no, marker_type, case when marker_type in ('FIXME', 'BUG', 'XXX') "
