@@ -38,6 +38,28 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join c using (doc_id) left join t using (doc_id)
 """
 
+OP4 = f"""
+with d as (select doc_id, {WORDS} as w from documents),
+win as (
+  select doc_id, s, sha256(array_to_string(w[s : s + 34], ' ')) as v
+  from (select doc_id, w, unnest(range(1, len(w) - 33)) as s from d where len(w) >= 35)
+),
+twice as (select v from win group by v having count(*) > 1),
+gone as (
+  select distinct doc_id, p
+  from (select doc_id, unnest(range(s, s + 35)) as p from win where v in (select v from twice))
+),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as t
+  from words anti join gone using (doc_id, p) group by doc_id
+),
+n as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n.n, 0) as n_removed,
+  sha256(coalesce(t, '')) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
+
 _LINES = f"""
 l as (
   select doc_id, source, pos, line, {LINE} as k, {HAS_WORD} as full_line
@@ -151,6 +173,7 @@ from p left join f on p.d = f.d
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": OP1,
     "op2_quality_rules": OP2,
+    "op4_repeated_phrases": OP4,
     "op5_line_dedup": OP5,
     "op6_chat_formatting": OP6,
     "op10_warc": OP10,

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import chat, decontam, html_text, line_dedup, mixing, quality, simhash, warc
+from codecorpus.llm import (
+    chat, decontam, html_text, line_dedup, mixing, phrases, quality, simhash, suffixes, warc,
+)
 from codecorpus.llm.oracle import ORACLE
 from codecorpus.session import shared_folder
 
@@ -19,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def total(spans: str) -> Column:
+    """The length of all spans together."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
 def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     hits = decontam.benchmark_hits(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -26,7 +33,7 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return hits.select(
         "doc_id",
         "n_words",
-        decontam.n_hit(F.col("spans")).alias("n_hit"),
+        total("spans").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
@@ -46,6 +53,12 @@ def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_repeated_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    rows = phrases.repeated_phrases(table(spark, folder, "documents"))
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", total("spans").alias("n_removed"), kept.alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_dedup.site_line_dedup(table(spark, folder, "documents"))
     return rows.select(
@@ -98,6 +111,14 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffixes.repeated_bytes(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "n_bytes", total("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, folder, "pages"), path)
@@ -115,10 +136,12 @@ QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_html_extraction": op3_html_extraction,
+    "op4_repeated_phrases": op4_repeated_phrases,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
 
