@@ -158,7 +158,8 @@ def find_windows(rows: DataFrame, window: int) -> DataFrame:
                 names=["f", "g", "key", "place"],
             )
 
-    chosen = rows.select("_key", "_text", "single")
+    # The id is not needed here; with it the texts are shuffled once for this and the last step.
+    chosen = rows.select("_key", "_text", "single", "_id")
     return chosen.mapInArrow(run, "f long, g long, key long, place long")
 
 
