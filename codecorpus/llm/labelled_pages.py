@@ -87,4 +87,16 @@ LABELLED_PAGES: tuple[tuple[str, tuple[str, ...]], ...] = (
         "<footer>Imprint</footer></body>",
         ("Only this.",),
     ),
+    (
+        f'<body>{_NAV}<article><h1>With extras</h1><p>{_LONG}</p><div class="share">Share</div><p>Ok.'
+        f'</p><div class="related"><p>Read this too</p></div><p>{_OTHER}</p><div class="ad">Ad</div>'
+        "<p>The end</p><footer>By someone</footer></article><footer>Imprint</footer></body>",
+        ("With extras", _LONG, "Ok.", _OTHER, "The end"),
+    ),
+    (
+        f'<body><main><h2>Notes</h2><p>{_THIRD}</p><aside>Side note</aside><p>Go on</p>'
+        f'<form><label>Mail</label></form><ul class="comments"><li>{_REMARK}</li><li>First</li></ul>'
+        "</main></body>",
+        ("Notes", _THIRD, "Go on"),
+    ),
 )
