@@ -57,6 +57,7 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
+_CLOSED = re.compile(r"(?:-->|</[a-z]+\s*>)\Z|\A<[!?](?!--)", re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -126,12 +127,15 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []
     depth_of_links = 0
     place = 0
-    for token in _TOKEN.finditer(html):
+    silenced = None
+    # Nothing after the last ">" can be a whole tag; this also keeps the search linear.
+    for token in _TOKEN.finditer(html, 0, html.rfind(">") + 1):
         if token.start() > place:
             out.parts.append((html[place : token.start()], depth_of_links > 0))
         place = token.end()
         tag = token[3] or token[6]
         if tag is None:
+            silenced = token
             continue
         closing, attributes = token[2] or token[5], token[4] or token[7] or ""
         tag = tag.lower()
@@ -164,6 +168,8 @@ def blocks_of(html: str) -> list[Block]:
                     stack.pop()
             stack.append((tag, *cues))
     rest = html[place:]
+    if silenced and silenced.end() == place and not _CLOSED.search(silenced[0]):
+        rest = ""  # the page ends inside a script, a style or a comment
     # A tag that was cut off at the end of the page is no text.
     rest = re.sub(r"<(?:[a-zA-Z/!?][^>]*)?\Z", "", rest)
     if rest:

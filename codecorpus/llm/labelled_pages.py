@@ -99,4 +99,44 @@ LABELLED_PAGES: tuple[tuple[str, tuple[str, ...]], ...] = (
         "</main></body>",
         ("Notes", _THIRD, "Go on"),
     ),
+    (
+        f'<body>{_NAV}<div class="ad">Buy now.</div><article><h1>Cut off</h1><p>{_LONG}</p><p>And th',
+        ("Cut off", _LONG, "And th"),
+    ),
+    (
+        f"<body><header>Paper</header><article><h1>Links</h1><p><a href='/1'>Part one</a></p>"
+        f"<p><a href='/2'>Two</a></p><p>{_OTHER}</p><p><a href='/3'>Part three</a></p></article></body>",
+        ("Links", "Part one", "Two", _OTHER, "Part three"),
+    ),
+    (
+        f'<body><div id="nav">{_LINKS}</div><main><h1>Short</h1><p>{_THIRD}</p><p>Fine.',
+        ("Short", _THIRD, "Fine."),
+    ),
+    (
+        f'<body>{_NAV}<div class="post"><h2>Head</h2><p>{_REMARK}</p><p><a href="/p">Photo</a></p>'
+        f"<p>{_LONG}</p><p>Last</p></div></body>",
+        ("Head", _REMARK, "Photo", _LONG, "Last"),
+    ),
+    (
+        f"<body><div><a href='/'>Home</a> <a href='/b'>Blog</a></div><h1>No marks</h1><p>{_THIRD}</p>"
+        f"<p>{_REMARK}</p><div>Made with care</div></body>",
+        ("No marks", _THIRD, _REMARK),
+    ),
+    (
+        f"<body><div>Our site</div><div><p>{_LONG}</p><p>{_OTHER}</p></div><ul>{_LINKS}</ul>"
+        "<div>All rights reserved</div></body>",
+        (_LONG, _OTHER),
+    ),
+    # Pages that end inside the article.
+    *(
+        (
+            f'<body>{_NAV}<div class="ad">Buy now.</div><article><h1>Cut off</h1><p>{_LONG}</p><p>{rest}',
+            ("Cut off", _LONG, rest),
+        )
+        for rest in ("Then they all", "Then they all went home", _OTHER[:60].strip(), _OTHER, _THIRD)
+    ),
+    (
+        f"<body>{_NAV}<article><p>{_OTHER}</p></article></body>",
+        (_OTHER,),
+    ),
 )
