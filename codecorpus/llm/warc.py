@@ -2,9 +2,10 @@
 
 Archives are gzip files with one member per record.  The reader never opens a file as a whole: Spark
 deals out byte ranges, the text source cuts each range at the gzip magic, and a task owns the
-members that start inside its range.  Compressed data can hold the magic by chance, so a candidate
-counts only if its gzip header and the start of its content decode to a WARC record; what does not
-is the rest of the record before it, in the next range if need be.
+members that start inside its range.  Compressed data can hold the magic by chance, so the
+first candidate of a range counts only if its gzip header and the start of its content decode to a
+WARC record; what comes before is the rest of a record of the range before.  From there on a member
+ends where its data says so, and a magic inside it is part of it.
 """
 
 from __future__ import annotations
@@ -135,25 +136,18 @@ def write_warc(
     members.write.options(**options).text(path)
 
 
-def inflated(data: bytes, limit: int = 0) -> tuple[bytes, bool]:
-    """The content of a gzip member, up to ``limit`` bytes if given, and whether its end was seen.
+def begins_record(piece: bytes) -> bool:
+    """Whether the bytes after a magic begin a member that holds a WARC record or nothing.
 
-    Raises ``zlib.error`` if the bytes are no gzip.
+    Chance bytes do not unpack to the name of the format.  A record that the magic by chance cuts
+    before its first five characters are unpacked is not recognised; ``_joined`` takes care of it.
     """
     unpacker = zlib.decompressobj(31)
-    out = unpacker.decompress(data, limit) if limit else unpacker.decompress(data)
-    return out, unpacker.eof
-
-
-def begins_record(piece: bytes) -> bool:
-    """Whether the bytes after a magic begin a member that holds a WARC record or nothing."""
-    if len(piece) < 7 or piece[0] & 0xE0:
-        return False
     try:
-        head, ended = inflated(MAGIC + piece[: 1 << 14], 5)
+        head = unpacker.decompress(MAGIC + piece[: 1 << 14], 5)
     except zlib.error:
         return False
-    return head == b"WARC/" or (ended and head == b"") or (not ended and b"WARC/".startswith(head))
+    return head == b"WARC/" or (unpacker.eof and head == b"")
 
 
 def headers(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -252,20 +246,24 @@ def _own_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     out: list[tuple] = []
     at: tuple | None = None
-    held: bytearray | None = None
-    part = 0
+    unpacker, content, packed = None, b"", bytearray()
+    part, synced = 0, False
+
+    def feed(data: bytes) -> None:
+        """Unpacks more of the member that is open, and ends it where its data ends."""
+        nonlocal unpacker, content, packed
+        content += unpacker.decompress(data)
+        packed += data
+        if unpacker.eof:
+            if content:
+                out.append((parsed(content), *at, 0, 0, None))
+            unpacker = None
 
     def close() -> None:
-        nonlocal held
-        if held is None:
-            return
-        data = bytes(held)
-        held = None
-        content, ended = inflated(data)
-        if not ended:
-            out.append((None, *at, 2, 0, data))
-        elif content:
-            out.append((parsed(content), *at, 0, 0, None))
+        nonlocal unpacker
+        if unpacker is not None:
+            out.append((None, *at, 2, part + 1, bytes(packed)))
+            unpacker = None
 
     def batch_of() -> pa.RecordBatch:
         columns = list(zip(*out))
@@ -280,20 +278,18 @@ def _own_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where = tuple(x.as_py() for x in place)
             if where != at:
                 close()
-                at, part = where, 0
-                first_of_file = where[1] == 0
+                at, part, synced = where, 0, False
             piece = value.as_py()
-            if first_of_file and part == 0:
-                part = 1  # what stands before the first magic of a file, mostly nothing
-                continue
             part += 1
-            if begins_record(piece):
-                close()
-                held = bytearray(MAGIC + piece)
-            elif held is not None:
-                held += MAGIC + piece
-            else:
-                out.append((None, *at, 1, part, MAGIC + piece))
+            if part == 1 and where[1] == 0:
+                continue  # what stands before the first magic of a file, mostly nothing
+            if unpacker is None:
+                synced = synced or begins_record(piece)
+                if not synced:
+                    out.append((None, *at, 1, part, MAGIC + piece))
+                    continue
+                unpacker, content, packed = zlib.decompressobj(31), b"", bytearray()
+            feed(MAGIC + piece)
         if out:
             yield batch_of()
     close()
@@ -302,18 +298,19 @@ def _own_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(group: pd.DataFrame) -> pd.DataFrame:
-    """The members of one file that go over the end of a byte range: few, mostly none."""
-    rows = []
-    group = group.sort_values(["start", "part"])
-    for opened in group[group["kind"] == 2].itertuples():
-        later = group[(group["kind"] == 1) & (group["start"] >= opened.end)]
-        data = bytes(opened.bytes)
-        for piece in later.itertuples():
-            data += bytes(piece.bytes)
-            content, ended = inflated(data)
-            if ended:
-                break
-        else:
-            raise ValueError(f"a record of {opened.file} has no end")
-        rows.append(parsed(content))
+    """The members of one file that were not read in one range: few, mostly none.
+
+    In order of the file, each piece goes on with the member that is open, or opens the next.
+    """
+    rows, unpacker, content = [], None, b""
+    for piece in group.sort_values(["start", "part"]).itertuples():
+        if unpacker is None:
+            unpacker, content = zlib.decompressobj(31), b""
+        content += unpacker.decompress(bytes(piece.bytes))
+        if unpacker.eof:
+            if content:
+                rows.append(parsed(content))
+            unpacker = None
+    if unpacker is not None:
+        raise ValueError(f"the last record of {group['file'].iloc[0]} has no end")
     return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _FIELDS.split(", ")])
