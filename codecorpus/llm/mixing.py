@@ -222,12 +222,12 @@ def take_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text:
 
     Rows that repeat doc_id and text are matched in any order.
     """
+    lists = mixed.groupBy("_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
     here = Window.partitionBy("_key").orderBy("_key")
-    copies = mixed.where("copies > 0").select(
-        "_key", "copies", F.row_number().over(here).alias("_nth")
-    )
+    # Numbering and join both go by the digest, so texts are shuffled once.
     keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
     keyed = keyed.withColumn("_nth", F.row_number().over(here))
     names = [name for name in docs.columns if name != "copy"]
-    joined = keyed.join(copies, ["_key", "_nth"])
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    joined = keyed.join(lists, "_key").withColumn("_times", F.get("_copies", F.col("_nth") - 1))
+    taken = joined.where("_times > 0")
+    return taken.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("copy"))
