@@ -48,10 +48,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = near_duplicates(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("_first")).distinct()
-    rows = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    rows = rows.withColumn("_digest", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    # Join and duplicates both go by the id as text, empty for null, so texts are shuffled once.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    first = first.select(key.alias("_id")).distinct()
+    rows = docs.withColumns({"_id": key, "_digest": F.xxhash64("text")}).join(first, "_id", "left_semi")
+    return rows.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
