@@ -22,7 +22,6 @@ COMMENT_START = r"(?:#|//|/\*|\*|<!--|--|;)"
 
 # Private-use digits: line numbers written into text so that a pattern can read them.
 STAMP_DIGITS = "".join(chr(0xE000 + digit) for digit in range(10))
-LONG_LINE = 500
 STAMP = r"\x{E000}-\x{E009}"
 
 
@@ -72,9 +71,9 @@ def stamp_line_ends(content: Column) -> Column:
 
     def with_number(line: Column, i: Column) -> Column:
         number = stamp(i + 1)
-        # Minified text: more stamps per line, so that none is far away from a match.
-        dense = F.regexp_replace(line, F.lit("[;{}]"), F.concat(F.lit("$0"), number))
-        return F.concat(F.when(F.length(line) > LONG_LINE, dense).otherwise(line), number)
+        # More stamps per line, so that none is far away from a match in minified text.
+        dense = F.regexp_replace(line, F.lit(r"[;{}](?!\z)"), F.concat(F.lit("$0"), number))
+        return F.concat(dense, number)
 
     lines = F.split(drop_stamps(content), "\n", -1)
     return F.array_join(F.transform(lines, with_number), "\n")
@@ -111,7 +110,7 @@ def first_per(items: Column, key: str) -> Column:
     return F.transform(ordered, lambda f: f["x"])
 
 
-def nested(depth: int = 8) -> str:
+def nested(depth: int = 200) -> str:
     """Pattern of one bracketed group, brackets nested up to ``depth`` levels."""
     body = r"[^()\[\]{}]++"
     group = rf"[(\[{{](?:{body})?+[)\]}}]"

@@ -31,15 +31,13 @@ EXPORT = (
     rf"export{S}+(?:default{S}+)?(?:(?:function|class|const|let|var|interface|type|enum)"
     rf"{S}+({W}+)|\{{([^}}]*)\}})"
 )
-# The word "async" in the ten characters before the match.
-ASYNC_BEFORE = "(?:(?<=(async)" + rf"(?:[{STAMP}]{{0,9}}[^{STAMP}])?" * 5 + ")|)"
 FUNCTION = (
-    rf"(?=export|async|function){LINE_NO}{ASYNC_BEFORE}(?:export{GAP}+)?(?:async{GAP}+)?"
+    rf"(?=export|async|function){LINE_NO}(?:export{GAP}+)?(async{GAP}+)?"
     rf"function{GAP}+({W}+){GAP}*\(([^)]*)\)"
 )
 ARROW = (
-    rf"(?=export|const|let|var){LINE_NO}{ASYNC_BEFORE}(?:export{GAP}+)?(?:const|let|var){GAP}+"
-    rf"({W}+){GAP}*={GAP}*(?:async{GAP}+)?\([^)]*\){GAP}*=>"
+    rf"(?=export|const|let|var){LINE_NO}(?:export{GAP}+)?(?:const|let|var){GAP}+"
+    rf"({W}+){GAP}*={GAP}*(async{GAP}+)?\([^)]*\){GAP}*=>"
 )
 CLASS = (
     rf"(?=export|default|class){LINE_NO}(?:export{GAP}+)?(?:default{GAP}+)?class{GAP}+({W}+)"
@@ -82,7 +80,7 @@ def functions(text: Column) -> Column:
         return function_row(
             unstamp(m["line"]),
             m["name"],
-            is_async=m["before"] != "",
+            is_async=m["marked"] != "",
             parameters=parameters,
         )
 
@@ -91,11 +89,11 @@ def functions(text: Column) -> Column:
         return F.transform(parts, lambda p: strip(F.split_part(p, F.lit(":"), F.lit(1))))
 
     declared = F.transform(
-        find_all(text, FUNCTION, line=1, before=2, name=3, listed=4),
+        find_all(text, FUNCTION, line=1, marked=2, name=3, listed=4),
         lambda m: row(m, typed_names(m["listed"])),
     )
     arrows = F.transform(
-        find_all(text, ARROW, line=1, before=2, name=3), lambda m: row(m, no_strings())
+        find_all(text, ARROW, line=1, name=2, marked=3), lambda m: row(m, no_strings())
     )
     return first_per(F.concat(declared, arrows), "name")
 

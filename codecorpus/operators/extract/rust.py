@@ -23,10 +23,8 @@ LINE_START = r"(?<![^\n])"
 
 # --- fixed values: patterns that define imports, functions and public items -----------------
 USE = rf"{LINE_START}use{S}+([^;]+);"
-# The word "async" in the twenty characters before the match.
-ASYNC_BEFORE = "(?:(?<=(async)" + rf"(?:[{STAMP}]{{0,9}}[^{STAMP}])?" * 15 + ")|)"
 FN = (
-    rf"(?=pub|async|fn){LINE_NO}{ASYNC_BEFORE}(?:pub{GAP}+)?(?:async{GAP}+)?fn{GAP}+({W}+){GAP}*"
+    rf"(?=pub|async|fn){LINE_NO}(?:pub{GAP}+)?(async{GAP}+)?fn{GAP}+({W}+){GAP}*"
     rf"(?:<[^>]*>)?{GAP}*\(([^)]*)\)"
 )
 PUBLIC_FN = rf"pub{S}+(?:async{S}+)?fn{S}+({W}+){S}*(?:<[^>]*>)?{S}*\([^)]*\)"
@@ -61,11 +59,11 @@ def functions(text: Column) -> Column:
         )
 
     return F.transform(
-        find_all(text, FN, line=1, before=2, name=3, listed=4),
+        find_all(text, FN, line=1, marked=2, name=3, listed=4),
         lambda m: function_row(
             unstamp(m["line"]),
             m["name"],
-            is_async=m["before"] != "",
+            is_async=m["marked"] != "",
             parameters=names(m["listed"]),
         ),
     )

@@ -69,16 +69,19 @@ def package_usage(dependencies: DataFrame) -> DataFrame:
     return dependencies.groupBy("package").agg(F.count(F.lit(1)).alias("repos"))
 
 
-def _core(edges: DataFrame, rounds: int = 2) -> DataFrame:
+def _core(edges: DataFrame) -> DataFrame:
     """Edges without nodes that nothing enters or leaves; such nodes lie on no cycle.
 
-    A few rounds remove most of an acyclic graph.  They only save work: cycles stay whole.
+    Rounds go on until no edge is removed, so an acyclic graph ends without any edge and opens no
+    path.  Each round is stored.
     """
-    for _ in range(rounds):
+    before, left = -1, edges.count()
+    while left and left != before:
         sources = edges.select("repo", F.col("source").alias("target")).distinct()
         edges = edges.join(sources, ["repo", "target"], "left_semi")
         targets = edges.select("repo", F.col("target").alias("source")).distinct()
-        edges = edges.join(targets, ["repo", "source"], "left_semi")
+        edges = stored(edges.join(targets, ["repo", "source"], "left_semi"))
+        before, left = left, edges.count()
     return edges
 
 
@@ -95,7 +98,7 @@ def circular_deps(
     """
     graph = stored(edges.select("repo", "source", "target").distinct())
     loop = F.col("source") == F.col("target")
-    steps = stored(_core(graph.where(~loop)))
+    steps = _core(stored(graph.where(~loop)))
     found = graph.where(loop).select("repo", F.array("source", "target").alias("cycle"))
     open_paths = steps.where(F.col("target") > F.col("source")).select(
         "repo", F.array("source", "target").alias("nodes")

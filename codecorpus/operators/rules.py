@@ -24,8 +24,12 @@ def _rule_struct(rule: tuple) -> Column:
 
 
 def _folded(text: Column) -> Column:
-    """Lower case for literal searches; the long s also counts as s, as in the patterns."""
-    return F.translate(F.lower(text), chr(0x17F), "s")
+    """Lower case for literal searches.
+
+    Patterns that ignore case take the long s for s, and the i without and the capital I with a dot
+    for i, so they are folded first.
+    """
+    return F.lower(F.translate(text, chr(0x17F) + chr(0x131) + chr(0x130), "sii"))
 
 
 def _any_hint(folded: Column, hints: list[str]) -> Column:

@@ -13,6 +13,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecorpus.functions import dims
 from codecorpus.plans.analysis import CorpusAnalysis
 from codecorpus.session import shared_folder
 from codecorpus.sources.corpus import spread
@@ -354,30 +355,25 @@ class Tables:
         """The whole corpus as raw files: repo, path, size_bytes, content (bytes)."""
         return _raw(self.corpus())
 
-    @cache
-    def raw_code(self) -> DataFrame:
-        """The source repositories alone as raw files."""
-        return _raw(self.code_files())
-
     def as_of(self):
         """Time of the newest commit, where the history window ends."""
         return self.shared("orders").select(F.max("o_orderdate")).scalar()
 
     @cache
     def whole(self) -> CorpusAnalysis:
-        return CorpusAnalysis(self.raw(), self.commits(), self.as_of())
+        return CorpusAnalysis(
+            self.raw(),
+            self.commits(),
+            self.as_of(),
+            history_days=dims.HISTORY_DAYS,
+            history_commits=dims.HISTORY_COMMITS,
+        )
 
     @cache
     def whole_stored(self) -> CorpusAnalysis:
         """The same with files and structure stored: for results that combine several tables."""
         return self.whole().store(self._store())
 
-    @cache
-    def source(self) -> CorpusAnalysis:
-        """The source repositories alone, with files and structure stored."""
-        lazy = CorpusAnalysis(self.raw_code(), self.commits(), self.as_of())
-        return lazy.store(self._store())
-
     def _store(self) -> str:
         return f"{shared_folder(self.spark)}/codecorpus-{uuid.uuid4().hex}"
 

@@ -23,7 +23,7 @@ from codecorpus.operators import (
 )
 from codecorpus.operators.extract import manifest
 from codecorpus.sources import corpus
-from codecorpus.sources.history import load_commits
+from codecorpus.sources.history import load_commits, no_commits
 
 
 class CorpusAnalysis:
@@ -43,6 +43,8 @@ class CorpusAnalysis:
         *,
         max_depth: int = dims.MAX_DEPTH,
         extra_ignores: list[str] | None = None,
+        history_days: int | None = None,
+        history_commits: int | None = None,
         files: DataFrame | None = None,
         modules: DataFrame | None = None,
     ):
@@ -50,6 +52,7 @@ class CorpusAnalysis:
         self.commit_files = commit_files
         self.as_of = as_of
         self._depth, self._ignores = max_depth, extra_ignores
+        self._days, self._commits = history_days, history_commits
         self._files, self._modules = files, modules
 
     def store(self, path: str) -> CorpusAnalysis:
@@ -62,6 +65,8 @@ class CorpusAnalysis:
             self.raw_files,
             self.commit_files,
             self.as_of,
+            history_days=self._days,
+            history_commits=self._commits,
             files=files,
             modules=spark.read.parquet(f"{path}/modules"),
         )
@@ -118,7 +123,14 @@ class CorpusAnalysis:
 
     @cached_property
     def history(self) -> DataFrame:
-        return history.file_history(load_commits(self.commit_files, self.as_of))
+        return history.file_history(self.commits)
+
+    @cached_property
+    def commits(self) -> DataFrame:
+        """Touched files of the commits in the window; none if there is no log."""
+        if self.commit_files is None:
+            return no_commits(self.raw_files.sparkSession)
+        return load_commits(self.commit_files, self.as_of, self._days, self._commits)
 
     @cached_property
     def complexity(self) -> DataFrame:

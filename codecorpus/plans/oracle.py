@@ -107,10 +107,6 @@ CTES["files"] = (
     f"count(*) filter ({_BLANK}) as blank, count(*) filter ({_COMMENT}) as comment "
     "from lines group by all) n on n.repo = s.repo and n.path = s.path"
 )
-# Files and lines of the source repositories alone.
-CTES["src_repo"] = "select distinct repo from raw_code"
-CTES["src_files"] = "select * from files where repo in (select repo from src_repo)"
-CTES["src_lines"] = "select * from lines where repo in (select repo from src_repo)"
 
 check("src2_filter_depth", "select repo, path from parts where len(comps) <= 2")
 check("src3_filter_default_ignores", "select repo, path from visible")
@@ -120,11 +116,7 @@ CTES["more_globs"] = (
 )
 CTES["unhidden"] = _unhidden("parts", "more_globs")
 check("src4_filter_gitignore", "select repo, path from unhidden")
-check(
-    "src5_filter_binary",
-    f"select {CODE['repo']} as repo, {CODE['path']} as path from code_base "
-    "where k % 10 in (6, 7, 8, 9)",
-)
+check("src5_filter_binary", "select repo, path from corpus where strlen(content) % 10 >= 6")
 check("src6_decode_text", "select repo, path, length(content) + 1 as n_chars from corpus")
 CTES["window_start"] = "select max(o_orderdate) as until from orders"
 CTES["commits_400"] = (
@@ -134,11 +126,10 @@ CTES["commits_400"] = (
 check("src7_load_commits", "select repo, sha, author, path from commits_400")
 check(
     "src8_incremental_scan",
-    "select source as repo, concat('doc_', doc_id) as path, sha256(text) as content_sha, "
-    "case when text = '' then 0 when ends_with(text, chr(10)) "
-    "then len(string_split(text, chr(10))) - 1 else len(string_split(text, chr(10))) end "
-    "as line_count, sha256(text) in (select sha256(text) from documents where doc_id % 2 = 0) "
-    "as reused from documents",
+    "select repo, path, sha256(content) as content_sha, "
+    "case when content = '' then 0 when ends_with(content, chr(10)) "
+    "then len(string_split(content, chr(10))) - 1 else len(string_split(content, chr(10))) end "
+    "as line_count, strlen(content) % 2 = 0 as reused from corpus",
 )
 
 # --- paths and lines ----------------------------------------------------------------------
@@ -238,8 +229,7 @@ CTES["py_classes"] = (
 )
 check(
     "ext3_py_classes",
-    "select repo, path, name, line_no, bases, decorators from py_classes "
-    "where repo in (select repo from src_repo)",
+    "select repo, path, name, line_no, bases, decorators from py_classes",
 )
 check(
     "ext4_py_methods",
@@ -271,7 +261,7 @@ check(
 CTES["py_flags"] = (
     "select repo, path, regexp_matches(content, '(^|\\n)\\s*if __name__ ==') "
     "or contains(content, 'click.command') or contains(content, 'click.group') "
-    "or contains(content, '@app.route') as entry_point from src_files where language = 'Python'"
+    "or contains(content, '@app.route') as entry_point from files where language = 'Python'"
 )
 check("ext6_py_entry_flag", "select * from py_flags")
 
@@ -293,7 +283,7 @@ check(
 )
 CTES["js_functions"] = (
     "select repo, path, regexp_extract(text, '(?:function|const) (\\w+)', 1) as name, line_no, "
-    "false as is_async, case when contains(text, 'function') then array_to_string(list_transform("
+    "regexp_matches(text, '(^|\\s)async\\s') as is_async, case when contains(text, 'function') then array_to_string(list_transform("
     "string_split(regexp_extract(text, '\\(([^)]*)\\)', 1), ','), "
     "lambda x: trim(string_split(x, ':')[1])), '|') else '' end as parameters from js_lines "
     "where regexp_matches(text, 'function \\w+\\s*\\(') or regexp_matches(text, "
@@ -304,7 +294,7 @@ check(
     "ext9_js_classes",
     "select repo, path, regexp_extract(text, 'class (\\w+)', 1) as name, line_no, "
     "regexp_extract(text, 'extends (\\w+)', 1) as bases from js_lines "
-    "where regexp_matches(text, '(^|\\s)class \\w+') and repo in (select repo from src_repo)",
+    "where regexp_matches(text, '(^|\\s)class \\w+')",
 )
 check(
     "ext10_js_exports",
@@ -313,15 +303,15 @@ check(
     "' as ')[1]) as export_name from (select *, case when regexp_matches(text, '^export \\{') "
     "then string_split(regexp_extract(text, '\\{([^}]*)\\}', 1), ',') else [regexp_extract(text, "
     "'^export (?:function|class|const|let|var|interface|type|enum) (\\w+)', 1)] end as names "
-    "from js_lines where regexp_matches(text, '^export (function|class|const|\\{)') and repo in "
-    "(select repo from src_repo)), unnest(range(1, len(names) + 1)) as r(i))",
+    "from js_lines where regexp_matches(text, '^export (function|class|const|\\{)')"
+    "), unnest(range(1, len(names) + 1)) as r(i))",
 )
 CTES["js_flags"] = (
     "select repo, path, lower(regexp_replace(name, '\\.[^.]+$', '')) in ('index', 'main', 'app', "
     "'server', 'entry') or contains(content, 'createServer') or contains(content, 'app.listen') "
     "or (lower(regexp_replace(name, '\\.[^.]+$', '')) in ('page', 'layout', 'route') and "
     "regexp_matches(content, 'getServerSideProps|getStaticProps|getStaticPaths|(from|require)"
-    "\\s*\\(?[''\"]next')) as entry_point from src_files "
+    "\\s*\\(?[''\"]next')) as entry_point from files "
     "where language in ('JavaScript', 'TypeScript')"
 )
 check("ext11_js_entry_flag", "select * from js_flags")
@@ -361,7 +351,7 @@ check(
 )
 CTES["go_flags"] = (
     "select repo, path, contains(content, 'package main') and contains(content, 'func main()') "
-    "as entry_point from src_files where language = 'Go'"
+    "as entry_point from files where language = 'Go'"
 )
 check("ext15_go_entry_flag", "select * from go_flags")
 CTES["rust_lines"] = "select * from lines where language = 'Rust'"
@@ -377,7 +367,8 @@ check(
     "select repo, path, module, names, is_relative, is_external from rust_imports",
 )
 CTES["rust_functions"] = (
-    "select repo, path, regexp_extract(text, 'fn (\\w+)', 1) as name, line_no, false as is_async, "
+    "select repo, path, regexp_extract(text, 'fn (\\w+)', 1) as name, line_no, "
+    "contains(text, 'async fn') as is_async, "
     "array_to_string(list_transform(list_filter(list_transform(string_split(regexp_extract(text, "
     "'\\(([^)]*)\\)', 1), ','), lambda x: trim(x)), lambda x: x not in ('', 'self', '&self', "
     "'&mut self')), lambda x: trim(string_split(x, ':')[1])), '|') as parameters "
@@ -394,7 +385,7 @@ check(
 )
 CTES["rust_flags"] = (
     "select repo, path, (name = 'main.rs' and regexp_matches(content, 'fn\\s+main\\s*\\(\\s*\\)')) "
-    "or name = 'lib.rs' as entry_point from src_files where language = 'Rust'"
+    "or name = 'lib.rs' as entry_point from files where language = 'Rust'"
 )
 check("ext19_rust_entry_flag", "select * from rust_flags")
 
@@ -479,22 +470,21 @@ CTES["edges"] = (
     "any_value(c.names) as names from candidates c join files f on f.repo = c.repo "
     "and f.path = c.target group by c.repo, c.path, c.rid"
 )
-check("jn1_resolve_imports", "select repo, source, target, names from edges where repo in (select repo from src_repo)")
+check("jn1_resolve_imports", "select repo, source, target, names from edges")
 check(
     "agg13_import_fan_in",
     "select * from (select repo, target, count(*) as importers, row_number() over (partition by "
-    "repo order by count(*) desc, target) as rank from edges where repo in (select repo from "
-    "src_repo) group by repo, target) where rank <= 10",
+    "repo order by count(*) desc, target) as rank from edges"
+    " group by repo, target) where rank <= 10",
 )
 CTES["packages"] = (
     "select repo, string_split(string_split(module, '/')[1], '.')[1] as package from imports "
     "where is_external union select repo, package from manifest_deps"
 )
-CTES["src_packages"] = "select * from packages where repo in (select repo from src_repo)"
-check("set1_union_dependencies", "select repo, package from src_packages")
-check("agg12_external_deps", "select package, count(*) as repos from src_packages group by package")
+check("set1_union_dependencies", "select repo, package from packages")
+check("agg12_external_deps", "select package, count(*) as repos from packages group by package")
 CTES["links"] = (
-    "select distinct repo, source, target from edges where repo in (select repo from src_repo)"
+    "select distinct repo, source, target from edges"
 )
 CTES["walks"] = (
     "select repo, [source, target] as nodes from links where target >= source union all "
@@ -537,16 +527,17 @@ CTES["recent"] = (
 )
 check(
     "jn6_recent_file_boost",
-    "select f.repo, f.path, r.path is not null as is_recent from src_files f left join recent r "
+    "select f.repo, f.path, r.path is not null as is_recent from files f left join recent r "
     "on r.repo = f.repo and r.path = f.path",
 )
 check(
     "jn9_diff_snapshots",
     "select repo, change, count(*) as n, array_to_string(list_sort(list(path) filter (r <= 20)), "
     "'|') as paths from (select *, row_number() over (partition by repo, change order by path) "
-    f"as r from (select {CODE['repo']} as repo, {CODE['path']} as path, case when k % 5 = 0 then "
+    "as r from (select repo, path, case when k % 5 = 0 then "
     "'added' when k % 3 = 0 then 'deleted' when k % 7 = 0 then 'modified' end as change "
-    "from code_base where not (k % 5 = 0 and k % 3 = 0)) where change is not null) "
+    "from (select repo, path, strlen(content) as k from corpus) "
+    "where not (k % 5 = 0 and k % 3 = 0)) where change is not null) "
     "group by repo, change",
 )
 
@@ -571,7 +562,7 @@ check(
 )
 CTES["features"] = (
     "select f.repo, f.path, coalesce(h.commit_count, 0) as commit_count, "
-    "coalesce(c.complexity, 1) as complexity, f.code_lines from src_files f left join history h "
+    "coalesce(c.complexity, 1) as complexity, f.code_lines from files f left join history h "
     "on h.repo = f.repo and h.path = f.path left join complexity c on c.repo = f.repo "
     "and c.path = f.path"
 )
@@ -653,9 +644,9 @@ check(
 CTES["flagged"] = (
     "select repo, path from (select * from py_flags union all select * from js_flags union all "
     "select * from go_flags union all select * from rust_flags) where entry_point union "
-    f"select repo, path from src_files where name in {_in(dims.ENTRY_POINT_NAMES)} union "
-    "select repo, path from py_defs where owner_class is null and repo in (select repo from "
-    f"src_repo) and regexp_matches(lower(decorators), '{'|'.join(dims.ROUTE_WORDS)}')"
+    f"select repo, path from files where name in {_in(dims.ENTRY_POINT_NAMES)} union "
+    "select repo, path from py_defs where owner_class is null and "
+    f"regexp_matches(lower(decorators), '{'|'.join(dims.ROUTE_WORDS)}')"
 )
 CTES["entries"] = (
     "select repo, path, 0 as origin, 0 as ordinal from flagged union all select repo, path, 1, "
@@ -697,7 +688,7 @@ check(
     "e.repo = f.repo and e.path = f.path) as is_entry, exists (select 1 from hotspots h where "
     "h.repo = f.repo and h.path = f.path and h.raw > 70 and h.churn > 50 and h.complex > 50) "
     "as is_danger from (select *, row_number() over (partition by repo order by path) as rank "
-    "from src_files) f where f.rank <= 100",
+    "from files) f where f.rank <= 100",
 )
 
 # --- markers and findings -----------------------------------------------------------------
@@ -892,17 +883,16 @@ CTES["frameworks"] = (
     "select repo, list(fw order by i) as fws from (select repo, fw, min(i) as i from "
     "framework_hits group by repo, fw) group by repo"
 )
-_SRC = " where r.repo in (select repo from src_repo)"
 check(
     "det1_frameworks",
     "select r.repo, coalesce(array_to_string(f.fws, '|'), '') as frameworks from repos r "
-    "left join frameworks f on f.repo = r.repo" + _SRC,
+    "left join frameworks f on f.repo = r.repo",
 )
 check(
     "det2_package_manager",
     "select r.repo, coalesce("
     + ", ".join(f"case when {_file(f)} then '{pm}' end" for f, pm in dims.PACKAGE_MANAGERS)
-    + ") as package_manager from repos r" + _SRC,
+    + ") as package_manager from repos r",
 )
 _HAS_TESTS = f"({_dir(*dims.TEST_DIRS)} or {_file(*dims.TEST_CONFIGS)})"
 _HAS_CI = f"({_dir(*dims.CI_DIRS)} or {_file(*dims.CI_FILES, *dims.CI_DIRS)})"
@@ -910,7 +900,7 @@ _HAS_DOCKER = _file(*dims.DOCKER_FILES)
 check(
     "det3_project_features",
     f"select r.repo, {_HAS_TESTS} as has_tests, {_HAS_CI} as has_ci, {_HAS_DOCKER} as has_docker, "
-    f"{_dir('docs')} or {_file('README.md')} as has_docs from repos r" + _SRC,
+    f"{_dir('docs')} or {_file('README.md')} as has_docs from repos r",
 )
 _FRONT, _BACK = _dir(*dims.FRONTEND_DIRS), _dir(*dims.BACKEND_DIRS)
 _SCRIPTS = (
@@ -948,7 +938,7 @@ CTES["architecture_points"] = " union all ".join(
     f"select r.repo, {i} as i, '{pattern}' as pattern, "
     + " + ".join(f"case when {test} then {points} else 0 end" for test, points in signals)
     + (f" + case when {_MVC} >= 2 then 2 * {_MVC} else 0 end" if pattern == "MVC" else "")
-    + " as points from repos r" + _SRC
+    + " as points from repos r"
     for i, (pattern, signals) in enumerate(_SIGNALS.items())
 )
 CTES["architecture"] = (
@@ -967,11 +957,11 @@ check(
     f"then 'Fullstack' when {_dir(*dims.MVC_DIRS)} then 'MVC' when {_BACK} and not {_FRONT_APP} "
     f"then 'API Service' when p.language = 'Python' and {_SCRIPTS} then 'CLI Tool' when "
     f"{_dir('src')} and not {_FRONT_APP} then 'Library' else 'Unknown' end as "
-    "first_match_architecture from repos r join primary_language p on p.repo = r.repo" + _SRC,
+    "first_match_architecture from repos r join primary_language p on p.repo = r.repo",
 )
 CTES["totals"] = (
     "select repo, count(*) as files, sum(code_lines) as code_lines, sum(comment_lines) as "
-    "comment_lines from src_files group by repo"
+    "comment_lines from files group by repo"
 )
 CTES["first_entry"] = (
     "select repo, count(*) as n, string_split(arg_min(path, {'o': origin, 'n': ordinal, "
@@ -998,7 +988,7 @@ check(
     "as explanation from repos r join primary_language p on p.repo = r.repo join architecture a "
     "on a.repo = r.repo left join frameworks f on f.repo = r.repo left join totals t on "
     "t.repo = r.repo left join top_languages l on l.repo = r.repo left join first_entry e "
-    "on e.repo = r.repo" + _SRC,
+    "on e.repo = r.repo",
 )
 
 # --- health -------------------------------------------------------------------------------
@@ -1022,7 +1012,7 @@ CTES["line_spread"] = (
     "(line_count > 0) as sigma, count(*) filter (line_count > 500) as large, "
     f"count(*) filter ({_TEST_HEALTH}) as tests, count(*) filter (not {_TEST_HEALTH}) as plain, "
     "count(*) filter (ends_with(path, '.py')) as py, count(*) filter (ends_with(path, '.py') "
-    "and comment_lines > 0) as py_commented from src_files group by repo"
+    "and comment_lines > 0) as py_commented from files group by repo"
 )
 CTES["h_organization"] = (
     "select r.repo, (case when s.n >= 2 then greatest(0, 100 - s.sigma / 500 * 100) else 50 end + "
@@ -1059,7 +1049,7 @@ CTES["h_maintenance"] = (
     f"else 'No .gitignore found' end, case when {_HAS_DOCKER} then 'Docker setup detected' else "
     "'No Docker setup detected' end, case when c.n > 0 then concat(c.n, ' circular dependency "
     "chain(s) found') else 'No circular dependencies detected' end) as details from repos r "
-    "left join cycle_totals c on c.repo = r.repo" + _SRC
+    "left join cycle_totals c on c.repo = r.repo"
 )
 _HUNDREDTHS = "cast(floor(score * 100 + 0.5) as bigint) as score_hundredths"
 check("agg15_health_code_quality", f"select repo, {_HUNDREDTHS} from h_quality")
@@ -1163,8 +1153,7 @@ CTES["kinds"] = (
 )
 check(
     "sch3_line_kind",
-    "select repo, path, line_no, kind, function_name, class_name from kinds "
-    "where kind <> 'content'",
+    "select repo, path, line_no, kind, function_name, class_name from kinds",
 )
 CTES["line_words"] = (
     "select repo, path, language, line_no, text, kind, unnest(list_filter(list_transform("
@@ -1211,8 +1200,8 @@ _PASSES = (
 check(
     "flt3_search_filters",
     "select distinct q.query_id, k.repo, k.path, k.line_no, k.token as w from (select repo, path, "
-    "language, line_no, kind, token, 0 as x from line_words where repo in (select repo from "
-    "src_repo)) k join (select query_id, unnest(keywords) as w, lang_f, type_f, in_f from "
+    "language, line_no, kind, token, 0 as x from line_words"
+    ") k join (select query_id, unnest(keywords) as w, lang_f, type_f, in_f from "
     f"prepared) q on q.w = k.token where {_PASSES}",
 )
 _SCORE = (

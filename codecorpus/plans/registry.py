@@ -58,13 +58,6 @@ def scaled(value: Column, by: int = 1000) -> Column:
 # --- sources ------------------------------------------------------------------------------
 
 
-@query
-def src1_scan_corpus(t: Tables) -> DataFrame:
-    return corpus.scan_corpus(t.spark, t.folder, with_content=False).select(
-        "repo", "path", "size_bytes"
-    )
-
-
 @query
 def src2_filter_depth(t: Tables) -> DataFrame:
     return corpus.filter_depth(t.raw(), 1).select("repo", "path")
@@ -82,24 +75,17 @@ def src4_filter_gitignore(t: Tables) -> DataFrame:
 
 @query
 def src5_filter_binary(t: Tables) -> DataFrame:
-    """Files of which some get a binary signature or a zero byte in front."""
+    """Files of which some, by size, get a binary signature or a zero byte in front."""
     head = F.expr(
-        "case k % 10 when 0 then '7F454C46' when 1 then '4D5A' when 2 then '89504E47' "
-        "when 3 then 'FFD8FF' when 4 then '1F8B' when 5 then '610062' when 6 then '4D' else '' end"
+        "case size_bytes % 10 when 0 then '7F454C46' when 1 then '4D5A' when 2 then '89504E47' "
+        "when 3 then 'FFD8FF' when 4 then '1F8B' when 5 then '610062' else '' end"
     )
-    code = t.code_base().selectExpr("k", *_code_exprs())
-    raw = code.select(
+    raw = t.raw().select(
         "repo", "path", F.unhex(F.concat(head, F.hex(F.col("content")))).alias("content")
     )
     return corpus.filter_binary(raw).select("repo", "path")
 
 
-def _code_exprs() -> list[str]:
-    from codecorpus.plans.adapters import CODE
-
-    return [f"{e} as {n}" for n, e in CODE.items()]
-
-
 @query
 def src6_decode_text(t: Tables) -> DataFrame:
     """Length of every text after damaged bytes became replacement characters."""
@@ -115,11 +101,9 @@ def src7_load_commits(t: Tables) -> DataFrame:
 
 @query
 def src8_incremental_scan(t: Tables) -> DataFrame:
-    """Line counts by content hash, where the hashes of even documents are known already."""
-    documents = t.shared("documents")
-    known_texts = documents.where("doc_id % 2 = 0").select(
-        F.sha2(F.col("text").cast("binary"), 256).alias("content_sha"),
-        F.col("text").alias("content"),
+    """Line counts by content hash, where the hashes of files of even size are known already."""
+    known_texts = t.raw().where("size_bytes % 2 = 0").select(
+        F.sha2("content", 256).alias("content_sha"), "content"
     )
 
     def analyse(texts: DataFrame) -> DataFrame:
@@ -127,10 +111,7 @@ def src8_incremental_scan(t: Tables) -> DataFrame:
         return texts.select("content_sha", counted.alias("line_count"))
 
     known = analyse(known_texts).distinct()
-    raw = documents.selectExpr(
-        "source as repo", "concat('doc_', doc_id) as path", "cast(text as binary) as content"
-    )
-    return corpus.incremental_scan(raw, known, analyse)
+    return corpus.incremental_scan(t.raw().select("repo", "path", "content"), known, analyse)
 
 
 # --- paths and lines ----------------------------------------------------------------------
@@ -193,7 +174,7 @@ def prj9_is_test_name_search(t: Tables) -> DataFrame:
 
 @query
 def prj10_classify_entry_point(t: Tables) -> DataFrame:
-    return entrypoints.entry_point_types(t.source().entry_points)
+    return entrypoints.entry_point_types(t.whole_stored().entry_points)
 
 
 @query
@@ -222,13 +203,13 @@ def flt2_findings_min_severity(t: Tables) -> DataFrame:
 def flt3_search_filters(t: Tables) -> DataFrame:
     prepared = search.prepare_searches(t.searches())
     name = paths.file_name(F.col("path"))
-    kept = search.indexed_lines(t.source().files).select(
+    kept = search.indexed_lines(t.whole_stored().files).select(
         "repo", "path", "line_no", "kind", name.alias("name"), paths.language_of(name).alias("language")
     )
     wanted = prepared.select(
         "query_id", "language_filter", "type_filter", "filename_filter", F.explode("keywords").alias("w")
     )
-    words = search.tokenize(lines.explode_lines(t.source().files)).select(
+    words = search.tokenize(lines.explode_lines(t.whole_stored().files)).select(
         "repo", "path", "line_no", F.col("token").alias("w")
     )
     found = kept.join(words.distinct(), ["repo", "path", "line_no"]).join(wanted, "w")
@@ -402,12 +383,12 @@ def ext23_script_targets(t: Tables) -> DataFrame:
 
 @query
 def jn1_resolve_imports(t: Tables) -> DataFrame:
-    return t.source().edges.select("repo", "source", "target", listed("names"))
+    return t.whole_stored().edges.select("repo", "source", "target", listed("names"))
 
 
 @query
 def jn2_hotspot_features(t: Tables) -> DataFrame:
-    a = t.source()
+    a = t.whole_stored()
     return hotspots.hotspot_features(a.files, a.history, a.complexity)
 
 
@@ -445,13 +426,13 @@ def jn5_lookup_postings(t: Tables) -> DataFrame:
 @query
 def jn6_recent_file_boost(t: Tables) -> DataFrame:
     recent = history.recent_files(t.commits()).withColumn("is_recent", F.lit(True))
-    files = t.source().files.select("repo", "path").join(recent, ["repo", "path"], "left")
+    files = t.whole_stored().files.select("repo", "path").join(recent, ["repo", "path"], "left")
     return files.fillna(False, ["is_recent"])
 
 
 @query
 def jn7_annotate_file_tree(t: Tables) -> DataFrame:
-    a = t.source()
+    a = t.whole_stored()
     return entrypoints.annotate_file_tree(a.files, a.entry_points, a.hotspots)
 
 
@@ -468,9 +449,8 @@ def jn8_root_markers(t: Tables) -> DataFrame:
 
 @query
 def jn9_diff_snapshots(t: Tables) -> DataFrame:
-    """Two snapshots of the source files, with some paths missing or changed in either."""
-    code = t.code_base().selectExpr("k", *_code_exprs())
-    hashed = corpus.content_hash(code)
+    """Two snapshots of all files, with some, by size, missing or changed in either."""
+    hashed = corpus.content_hash(t.raw()).withColumn("k", F.octet_length("content"))
     changed = F.when(F.col("k") % 7 == 0, F.md5("content")).otherwise(F.col("content_sha"))
     before = hashed.where("k % 5 <> 0").select("repo", "path", "content_sha")
     after = hashed.where("k % 3 <> 0").select("repo", "path", changed.alias("content_sha"))
@@ -508,7 +488,7 @@ def agg3_size_breakdown(t: Tables) -> DataFrame:
 
 @query
 def agg4_file_history(t: Tables) -> DataFrame:
-    return t.source().history.select(
+    return t.whole_stored().history.select(
         "repo", "path", "commit_count", listed("contributors"),
         F.date_format("last_modified", "yyyy-MM-dd").alias("last_modified"),
         scaled(F.col("churn_score"), 10).alias("churn_tenths"),
@@ -556,12 +536,12 @@ def agg11_risk_summary(t: Tables) -> DataFrame:
 
 @query
 def agg12_external_deps(t: Tables) -> DataFrame:
-    return graph.package_usage(t.source().dependencies)
+    return graph.package_usage(t.whole_stored().dependencies)
 
 
 @query
 def agg13_import_fan_in(t: Tables) -> DataFrame:
-    return graph.import_fan_in(t.source().edges)
+    return graph.import_fan_in(t.whole_stored().edges)
 
 
 @query
@@ -572,7 +552,7 @@ def agg14_language_counts(t: Tables) -> DataFrame:
 
 
 def _category(t: Tables, name: str) -> DataFrame:
-    rows = t.source().health_categories.where(F.col("name") == name)
+    rows = t.whole_stored().health_categories.where(F.col("name") == name)
     return rows.select(
         "repo", scaled(F.col("score"), 100).alias("score_hundredths"), listed("details")
     )
@@ -605,14 +585,14 @@ def agg19_health_maintenance(t: Tables) -> DataFrame:
 
 @query
 def agg20_health_report(t: Tables) -> DataFrame:
-    return t.source().health.select(
+    return t.whole_stored().health.select(
         "repo", scaled(F.col("overall_score"), 10).alias("overall_tenths"), "grade"
     )
 
 
 @query
 def agg21_health_recommendations(t: Tables) -> DataFrame:
-    return t.source().health.select("repo", listed("recommendations"))
+    return t.whole_stored().health.select("repo", listed("recommendations"))
 
 
 @query
@@ -632,7 +612,7 @@ def win1_largest_files(t: Tables) -> DataFrame:
 
 @query
 def win2_hotspots(t: Tables) -> DataFrame:
-    rows = t.source().hotspots
+    rows = t.whole_stored().hotspots
     return rows.select(
         "repo", "path", "rank", scaled(F.col("score"), 10).alias("score_tenths"), "is_danger_zone"
     )
@@ -677,47 +657,47 @@ def win7_top_k_per_repo(t: Tables) -> DataFrame:
 
 @query
 def set1_union_dependencies(t: Tables) -> DataFrame:
-    return t.source().dependencies
+    return t.whole_stored().dependencies
 
 
 @query
 def set2_entry_points(t: Tables) -> DataFrame:
-    return t.source().entry_points
+    return t.whole_stored().entry_points
 
 
 @query
 def grf1_circular_deps(t: Tables) -> DataFrame:
-    return t.source().cycles.select("repo", "rank", "nodes", listed("cycle"))
+    return t.whole_stored().cycles.select("repo", "rank", "nodes", listed("cycle"))
 
 
 @query
 def det1_frameworks(t: Tables) -> DataFrame:
-    return t.source().projects.select("repo", listed("frameworks"))
+    return t.whole_stored().projects.select("repo", listed("frameworks"))
 
 
 @query
 def det2_package_manager(t: Tables) -> DataFrame:
-    return t.source().projects.select("repo", "package_manager")
+    return t.whole_stored().projects.select("repo", "package_manager")
 
 
 @query
 def det3_project_features(t: Tables) -> DataFrame:
-    return t.source().projects.select("repo", "has_tests", "has_ci", "has_docker", "has_docs")
+    return t.whole_stored().projects.select("repo", "has_tests", "has_ci", "has_docker", "has_docs")
 
 
 @query
 def det4_architecture_scored(t: Tables) -> DataFrame:
-    return t.source().projects.select("repo", "architecture")
+    return t.whole_stored().projects.select("repo", "architecture")
 
 
 @query
 def det5_architecture_first_match(t: Tables) -> DataFrame:
-    return t.source().projects.select("repo", "first_match_architecture")
+    return t.whole_stored().projects.select("repo", "first_match_architecture")
 
 
 @query
 def det6_explain_project(t: Tables) -> DataFrame:
-    return t.source().explanations
+    return t.whole_stored().explanations
 
 
 # --- markers and search -------------------------------------------------------------------
@@ -747,9 +727,7 @@ def sch2_tokenize(t: Tables) -> DataFrame:
 @query
 def sch3_line_kind(t: Tables) -> DataFrame:
     rows = search.indexed_lines(t.whole().files)
-    return rows.where("kind <> 'content'").select(
-        "repo", "path", "line_no", "kind", "function_name", "class_name"
-    )
+    return rows.select("repo", "path", "line_no", "kind", "function_name", "class_name")
 
 
 @query
@@ -795,17 +773,17 @@ def sch6_rank_search(t: Tables) -> DataFrame:
 
 @query
 def snk1_export_json(t: Tables) -> DataFrame:
-    return _report_rows(report.export_json(t.source().report_input))
+    return _report_rows(report.export_json(t.whole_stored().report_input))
 
 
 @query
 def snk2_export_markdown(t: Tables) -> DataFrame:
-    return report.export_markdown(t.source().report_input)
+    return report.export_markdown(t.whole_stored().report_input)
 
 
 @query
 def snk3_export_report_payload(t: Tables) -> DataFrame:
-    return _report_rows(report.export_report_payload(t.source().report_input))
+    return _report_rows(report.export_report_payload(t.whole_stored().report_input))
 
 
 def _report_rows(rows: DataFrame) -> DataFrame:

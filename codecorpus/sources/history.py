@@ -39,11 +39,23 @@ def newest_commits(commit_files: DataFrame, limit: int) -> DataFrame:
 
 def load_commits(
     commit_files: DataFrame,
-    as_of: Column,
-    days: int = dims.HISTORY_DAYS,
-    limit: int = dims.HISTORY_COMMITS,
+    as_of: Column | None = None,
+    days: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Touched files of the newest commits that are at most ``days`` old at ``as_of``."""
-    recent = commit_files.where(F.col("ts") >= as_of - F.expr(f"interval {days} days"))
+    """Touched files of the newest ``limit`` commits of at most ``days`` before ``as_of``.
+
+    Without a number of days, or without a limit, all commits count.
+    """
+    recent = commit_files
+    if days is not None:
+        recent = recent.where(F.col("ts") >= as_of - F.expr(f"interval {days} days"))
+    if limit is None:
+        return recent
     newest = newest_commits(recent, limit).select("repo", "sha")
     return recent.join(newest, ["repo", "sha"], "left_semi")
+
+
+def no_commits(spark: SparkSession) -> DataFrame:
+    """The log of repositories that have none."""
+    return spark.createDataFrame([], SCHEMA)
