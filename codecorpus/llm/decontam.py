@@ -203,7 +203,7 @@ def benchmark_hits(
     shards = [
         spark.sparkContext.broadcast(shard)
         for shard in benchmark_shards(benchmark, item, item_text, shard_words)
-    ]
+    ] or [spark.sparkContext.broadcast([])]
     source = docs.drop("n_words", "spans", "items")
     place = source.columns.index(text)
 
@@ -218,17 +218,21 @@ def benchmark_hits(
             return built[i]
 
         for batch in batches:
-            words = [words_of(b) for b in batch.column(place).cast(pa.binary()).to_pylist()]
-            spans: list[list] = [[] for _ in words]
-            items: list[set] = [set() for _ in words]
+            bodies = batch.column(place).cast(pa.binary())
+            n_words = [0] * len(bodies)
+            spans: list[list] = [[] for _ in bodies]
+            items: list[set] = [set() for _ in bodies]
             for i in range(len(shards)):
                 shard = automaton(i)
-                for n, document in enumerate(words):
+                # The words of one document at a time: those of a whole batch take many times its size.
+                for n, body in enumerate(bodies):
+                    document = words_of(body.as_py())
                     found, which = shard.spans(document)
+                    n_words[n] = len(document)
                     spans[n] += found
                     items[n] |= which
             added = [
-                pa.array([len(w) for w in words], pa.int64()),
+                pa.array(n_words, pa.int64()),
                 pa.array(
                     [[{"start": a, "end": b} for a, b in merged(s)] for s in spans], _SPANS
                 ),
