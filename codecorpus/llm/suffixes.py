@@ -38,8 +38,8 @@ from codecorpus.llm.anchors import (
 from codecorpus.llm.phrases import flat, spans_of
 
 WINDOW = 100
-#: Bytes of an anchor.
-GRAM = 20
+#: Bytes of an anchor: long enough that few recur by chance, which no corpus size changes much.
+GRAM = 40
 BLOCK_WINDOWS = 8
 #: Bytes of suffixes sorted into one run.
 RUN_BYTES = 8_000_000
