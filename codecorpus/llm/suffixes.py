@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,12 +117,13 @@ def anchor_ranges(block: Block, single: pa.Array, window: int, powers: Powers) -
 
 
 class RunWriter:
-    """Collects suffixes and yields them as sorted, front-coded runs, one row per part."""
+    """Collects suffixes and yields them as sorted, front-coded runs, one row per part.
 
-    names = (
-        "part", "h", "doc", "key", "place", "start", "n", "common", "size", "rest",
-        "late_key", "late_start", "late_n",
-    )
+    ``numbers`` are seven rows of 64-bit numbers: h, key, place, start and n of each suffix, the
+    length of its common prefix with the one before, and that of its rest.
+    """
+
+    names = ("part", "doc", "numbers", "rest", "late_key", "late_start", "late_n")
 
     def __init__(self, parts: int, id_type: pa.DataType):
         self.parts, self.id_type = parts, id_type
@@ -165,22 +167,29 @@ class RunWriter:
                 rest.append(suffix[shared:])
                 before = suffix
             entries = [self.first[s] for s in suffixes]
+            numbers = [[e[k] for e in entries] for k in (1, 3, 4, 5, 6)]
+            numbers += [common, [len(x) for x in rest]]
             rows.append(
-                (part, *([e[k] for e in entries] for k in range(1, 7)), common, [len(x) for x in rest],
-                 b"".join(rest), [], [], [])
+                (part, [e[2] for e in entries], packed(np.array(numbers, np.int64).tobytes()),
+                 packed(b"".join(rest)), [], [], [])
             )
         if self.late:
-            rows[0] = (*rows[0][:10], *(list(x) for x in zip(*self.late)))
+            rows[0] = (*rows[0][:4], *(list(x) for x in zip(*self.late)))
         self.clear()
         longs = pa.list_(pa.int64())
-        types = [
-            pa.int32(), longs, pa.list_(self.id_type), longs, longs, longs, longs, longs, longs,
-            pa.binary(), longs, longs, longs,
-        ]
+        types = [pa.int32(), pa.list_(self.id_type), pa.binary(), pa.binary(), longs, longs, longs]
         columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
         return pa.RecordBatch.from_arrays(columns, names=list(self.names))
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _part(suffix: bytes, parts: int) -> int:
     return zlib.crc32(suffix) % parts
 
@@ -271,9 +280,8 @@ class LoserTree:
 def merge_runs(table: pa.Table) -> pa.Table:
     """Merges the runs of one part: repeats (late true) and the first of each suffix."""
     data = {name: table.column(name).to_pylist() for name in RunWriter.names[1:]}
-    runs = [
-        FrontCoded(c, s, r) for c, s, r in zip(data["common"], data["size"], data["rest"])
-    ]
+    numbers = [np.frombuffer(unpacked(x), np.int64).reshape(7, -1).tolist() for x in data["numbers"]]
+    runs = [FrontCoded(n[5], n[6], unpacked(r)) for n, r in zip(numbers, data["rest"])]
     out: list[tuple] = []
     for keys, starts, ns in zip(data["late_key"], data["late_start"], data["late_n"]):
         out += [(True, None, k, None, s, n) for k, s, n in zip(keys, starts, ns)]
@@ -281,11 +289,9 @@ def merge_runs(table: pa.Table) -> pa.Table:
     first, length = None, -1
 
     def entry(run: int, i: int) -> tuple:
-        doc, key, start = data["doc"][run][i], data["key"][run][i], data["start"][run][i]
-        return (
-            (doc is None, doc, key, start), data["h"][run][i], key, data["place"][run][i], start,
-            data["n"][run][i],
-        )
+        doc = data["doc"][run][i]
+        h, key, place, start, n = (row[i] for row in numbers[run][:5])
+        return (doc is None, doc, key, start), h, key, place, start, n
 
     for run, i, shared in tree.merge():
         size = len(runs[run].suffix)
@@ -321,8 +327,7 @@ def sorted_and_merged(rows: DataFrame, cut, window: int, id_type: str) -> DataFr
     spark = rows.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = (
-        f"part int, h array<long>, doc array<{id_type}>, key array<long>, place array<long>, "
-        "start array<long>, n array<long>, common array<long>, size array<long>, rest binary, "
+        f"part int, doc array<{id_type}>, numbers binary, rest binary, "
         "late_key array<long>, late_start array<long>, late_n array<long>"
     )
 
