@@ -109,15 +109,13 @@ def pivot(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> tuple
     return part, held
 
 
-def repair(size: np.ndarray, fraction: np.ndarray, part: np.ndarray, last: int) -> None:
-    """Makes good, in place, for the words that rounding the last fraction added or took.
+def repair(size: np.ndarray, fraction: np.ndarray, part: np.ndarray, excess: float) -> None:
+    """Takes ``excess`` words out of the rounded fractions, or adds them if it is negative, in place.
 
-    A long document can be a large part of a small source.  Shorter documents of the same group
-    change sides, longest first, as long as that brings the sum nearer.
+    Documents change sides, longest first, as long as that brings the sum nearer.
     """
-    excess = float((size * (part - fraction)).sum())
     for i in np.argsort(-size, kind="stable"):
-        if i == last or size[i] <= 0 or not NEAR < fraction[i] < 1 - NEAR:
+        if size[i] <= 0 or not NEAR < fraction[i] < 1 - NEAR:
             continue
         if excess >= size[i] and part[i] == 1:
             part[i], excess = 0.0, excess - size[i]
@@ -125,6 +123,45 @@ def repair(size: np.ndarray, fraction: np.ndarray, part: np.ndarray, last: int)
             part[i], excess = 1.0, excess + size[i]
 
 
+def shares_of_groups(done: DataFrame, n_levels: int) -> DataFrame:
+    """_of, _at, _share: the words that each group of documents has to give up (or take, below 0).
+
+    ``done`` has _source, _leaf, size, _part, _fraction and _drawn, where ``_drawn`` is what the last
+    draw of a source added.  The groups of a source hold so many words of documents that can change
+    sides; going down the tree, each node deals its share to its children in order, as far as each
+    can hold it.  A node has at most ``FAN_IN`` children, so no window holds more rows.
+    """
+    drawn = stored(done.where("_drawn <> 0").select(F.col("_source").alias("_of"), F.col("_drawn").alias("_share")))
+    free = (F.col("_drawn") == 0) & (F.col("size") > 0) & F.col("_fraction").between(NEAR, 1 - NEAR)
+    words = F.when(free, F.col("size")).otherwise(0)
+    held = done.groupBy("_source", F.col("_leaf").alias("_at")).agg(
+        F.sum(F.when(F.col("_part") == 1, words).otherwise(0)).alias("_down"),
+        F.sum(F.when(F.col("_part") == 0, words).otherwise(0)).alias("_up"),
+    )
+    levels = [stored(held)]
+    for _ in range(n_levels - 1):
+        above = F.floor(F.col("_at") / F.lit(FAN_IN)).cast("long").alias("_at")
+        levels.append(
+            stored(levels[-1].groupBy("_source", above).agg(F.sum("_down").alias("_down"), F.sum("_up").alias("_up")))
+        )
+    shares = drawn.withColumn("_at", F.lit(0).cast("long"))
+    for level in reversed(levels[:-1]):
+        nodes = level.withColumn("_node", F.floor(F.col("_at") / F.lit(FAN_IN)).cast("long"))
+        parents = broadcast_if_small(stored(shares.withColumnRenamed("_at", "_over")))
+        found = nodes.join(
+            parents, nodes["_source"].eqNullSafe(parents["_of"]) & (F.col("_node") == F.col("_over"))
+        )
+        room = F.when(F.col("_share") > 0, F.col("_down")).otherwise(F.col("_up"))
+        before = Window.partitionBy("_of", "_node").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.abs("_share") - F.coalesce(F.sum("_room").over(before), F.lit(0))
+        mine = F.signum("_share") * F.least(F.col("_room"), left)
+        shares = (
+            found.withColumn("_room", room).withColumn("_mine", F.when(left > 0, mine))
+            .where("_mine <> 0").select("_of", "_at", F.col("_mine").alias("_share"))
+        )
+    return shares
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -141,8 +178,9 @@ def mix(
     ``size`` is the number of words, ``copies`` how often the document is taken, ``taken`` copies
     times size.  ``_key`` is a digest of doc_id and text.  Documents are dealt into groups by that
     digest, rounded group by group, and the one fraction left in each group goes up a tree of fixed
-    fan-in; its root is rounded by a draw.  Draws come from the seed and the digests, so reruns
-    agree whatever the partitions are.  A null or empty text has size 0 and is never taken; a null
+    fan-in; its root is rounded by a draw.  The words which that draw adds or takes go back down the
+    tree to the groups, where shorter documents make good for them.  Draws come from the seed and
+    the digests, so reruns agree whatever the partitions are.  A null or empty text has size 0 and is never taken; a null
     source is a source of its own; rows that repeat doc_id and text are rounded one by one; an
     empty table gives an empty table.
     """
@@ -165,7 +203,9 @@ def mix(
         F.when(F.col("size") > 0, F.greatest(rate - whole, F.lit(0.0))).otherwise(0.0).alias("_part"),
         F.pmod(F.xxhash64("_key", F.lit(seed)), n_groups).alias("_group"),
         F.lit(False).alias("_left"),
+        F.lit(0.0).alias("_drawn"),
     )
+    rows = rows.withColumns({"_leaf": F.col("_group"), "_fraction": F.col("_part")})
     schema = rows.schema
 
     def rounded(level: int, is_root: bool):
@@ -177,14 +217,15 @@ def mix(
             rng = np.random.default_rng([seed, level, int(group["_group"].iloc[0]), key])
             size, fraction = group["size"].to_numpy(float), group["_part"].to_numpy(float)
             part, held = pivot(size, fraction, rng)
-            left = np.zeros(len(group), bool)
+            left, drawn = np.zeros(len(group), bool), np.zeros(len(group))
             if held >= 0:
                 if is_root:
-                    part[held] = float(rng.random() < part[held])
-                    repair(size, fraction, part, held)
+                    up = float(rng.random() < part[held])
+                    drawn[held] = size[held] * (up - part[held])
+                    part[held] = up
                 else:
                     left[held] = True
-            return group.assign(_part=part, _left=left)
+            return group.assign(_part=part, _left=left, _drawn=drawn)
 
         return run
 
@@ -204,6 +245,25 @@ def mix(
         groups, level = -(-groups // FAN_IN), level + 1
         above = F.floor(F.col("_group") / F.lit(FAN_IN)).cast("long")
         pending = result.where("_left").withColumn("_group", above).withColumn("_left", F.lit(False))
+
+    def repaired(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(
+            ["size", "_key"], ascending=[False, True], kind="stable", ignore_index=True
+        )
+        part = group["_part"].to_numpy(float).copy()
+        # The document of the last draw stays as it was drawn.
+        free = np.where(group["_drawn"] == 0, group["_fraction"], 0.0)
+        repair(group["size"].to_numpy(float), free, part, float(group["_share"].iloc[0]))
+        return group.assign(_part=part)
+
+    shares = stored(shares_of_groups(done, level + 1))
+    small = broadcast_if_small(shares)
+    done = done.join(
+        small, done["_source"].eqNullSafe(small["_of"]) & (done["_leaf"] == small["_at"]), "left"
+    ).drop("_of", "_at")
+    mended = done.where(F.col("_share").isNotNull())
+    mended = mended.groupBy("_source", "_leaf").applyInPandas(repaired, mended.schema)
+    done = done.where(F.col("_share").isNull()).union(mended)
     copies = F.col("_whole") + F.round("_part").cast("long")
     return done.select(
         "doc_id",

@@ -135,6 +135,28 @@ def test_mix_comes_near_its_targets(table, monkeypatch, group):
     assert sorted((r.doc_id, r.copies) for r in rows) == sorted((r.doc_id, r.copies) for r in again)
 
 
+def test_small_source_with_one_huge_document_beside_a_large_source(table, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 20)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    sizes = {f"s{k:02}": [100] + [7] * 15 + [2, 1] * 25 for k in range(12)}
+    sizes |= {"deep": [1000, *[5, 3, 1] * 300], "big": [40] * 400}
+    docs = [(k, "w " * n, s) for k, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+    # Every source could meet its target with the huge document and without it.
+    weights = (40.0, 10.0, *[1.0] * 12)
+    share = 140 * sum(weights) / sum(map(sum, sizes.values()))
+    frame = table(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(frame, share=share, weights=weights).collect()
+    assert len(rows) == len(docs)
+    taken, target = {}, {}
+    for r in rows:
+        assert 0 <= r.copies <= 2
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    for name in sizes:
+        # What is left is less than the shortest document of a group, and not the huge one.
+        assert abs(taken[name] - target[name]) <= (40 if name == "big" else 7), name
+
+
 def test_rounding_keeps_expectations_and_sums():
     size, part = np.array([5.0, 3, 8, 2, 7]), np.array([0.3, 0.6, 0.5, 0.9, 0.2])
     total = np.zeros(5)
