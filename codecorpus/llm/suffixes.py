@@ -14,13 +14,14 @@ windows, which settles every one of them byte by byte.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.llm.anchors import (
@@ -37,6 +38,7 @@ from codecorpus.llm.anchors import (
     slices,
 )
 from codecorpus.llm.phrases import flat, spans_of
+from codecorpus.session import stored
 
 WINDOW = 100
 #: Bytes of an anchor: long enough that few recur by chance, which no corpus size changes much.
@@ -44,6 +46,9 @@ GRAM = 40
 BLOCK_WINDOWS = 8
 #: Bytes of suffixes sorted into one run.
 RUN_BYTES = 8_000_000
+#: Bytes of suffixes merged in one group, and repeats found by a run that travel in one row.
+PART_BYTES = 16_000_000
+LATE_ROWS = 50_000
 
 
 def byte_grams(block: Block, powers: Powers) -> np.ndarray:
@@ -119,6 +124,9 @@ def anchor_ranges(block: Block, single: pa.Array, window: int, powers: Powers) -
 class RunWriter:
     """Collects suffixes and yields them as sorted, front-coded runs, one row per part.
 
+    Repeats that it meets itself are settled: they go out in rows of their own, each with a part
+    below 0 that no run has, so they never enter a merge.
+
     ``numbers`` are seven rows of 64-bit numbers: h, key, place, start and n of each suffix, the
     length of its common prefix with the one before, and that of its rest.
     """
@@ -173,11 +181,13 @@ class RunWriter:
                 (part, [e[2] for e in entries], packed(np.array(numbers, np.int64).tobytes()),
                  packed(b"".join(rest)), [], [], [])
             )
-        if self.late:
-            rows[0] = (*rows[0][:4], *(list(x) for x in zip(*self.late)))
+        for at in range(0, len(self.late), LATE_ROWS):
+            some = self.late[at : at + LATE_ROWS]
+            digest = hashlib.blake2b(repr((at, some[0], some[-1])).encode(), digest_size=7).digest()
+            rows.append((-1 - int.from_bytes(digest), None, None, None, *(list(x) for x in zip(*some))))
         self.clear()
         longs = pa.list_(pa.int64())
-        types = [pa.int32(), pa.list_(self.id_type), pa.binary(), pa.binary(), longs, longs, longs]
+        types = [pa.int64(), pa.list_(self.id_type), pa.binary(), pa.binary(), longs, longs, longs]
         columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
         return pa.RecordBatch.from_arrays(columns, names=list(self.names))
 
@@ -277,14 +287,26 @@ class LoserTree:
             self.winner = at
 
 
+def late_rows(table: pa.Table) -> pa.Table:
+    key, start, n = (
+        table.column(name).combine_chunks().flatten() for name in ("late_key", "late_start", "late_n")
+    )
+    none = pa.nulls(len(key), pa.int64())
+    late = pa.array(np.ones(len(key), bool))
+    return pa.table([late, none, key, none, start, n], names=["late", "h", "key", "place", "start", "n"])
+
+
 def merge_runs(table: pa.Table) -> pa.Table:
-    """Merges the runs of one part: repeats (late true) and the first of each suffix."""
-    data = {name: table.column(name).to_pylist() for name in RunWriter.names[1:]}
+    """Merges the runs of one part: repeats (late true) and the first of each suffix.
+
+    A part below 0 holds repeats that are known already; they are passed on as they are.
+    """
+    if table.num_rows and table.column("part")[0].as_py() < 0:
+        return late_rows(table)
+    data = {name: table.column(name).to_pylist() for name in ("doc", "numbers", "rest")}
     numbers = [np.frombuffer(unpacked(x), np.int64).reshape(7, -1).tolist() for x in data["numbers"]]
     runs = [FrontCoded(n[5], n[6], unpacked(r)) for n, r in zip(numbers, data["rest"])]
     out: list[tuple] = []
-    for keys, starts, ns in zip(data["late_key"], data["late_start"], data["late_n"]):
-        out += [(True, None, k, None, s, n) for k, s, n in zip(keys, starts, ns)]
     tree = LoserTree(runs)
     first, length = None, -1
 
@@ -317,17 +339,20 @@ MERGED = "late boolean, h long, key long, place long, start long, n long"
 RANGES = "array<struct<place:long,start:long,n:long>>"
 
 
-def sorted_and_merged(rows: DataFrame, cut, window: int, id_type: str) -> DataFrame:
+def n_parts(spark: SparkSession, n_bytes: int) -> int:
+    """Parts for so many bytes of suffixes, so that a part does not grow with the input."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+
+
+def sorted_and_merged(rows: DataFrame, cut, window: int, id_type: str, parts: int) -> DataFrame:
     """Which suffixes are repeats: late, h, key, place, start, n.
 
     ``rows`` has _key, _text, what ``cut`` needs, and _id.  ``cut`` gives for a block of texts the
     hash, anchor place, first window and last window of each suffix.  Every repeat is a late row;
     of each distinct suffix the earliest is one row that is not late.
     """
-    spark = rows.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = (
-        f"part int, doc array<{id_type}>, numbers binary, rest binary, "
+        f"part long, doc array<{id_type}>, numbers binary, rest binary, "
         "late_key array<long>, late_start array<long>, late_n array<long>"
     )
 
@@ -380,6 +405,16 @@ def ranges_of(block: Block, column: pa.Array) -> tuple[np.ndarray, ...]:
     return place + offset, start + offset, n
 
 
+def bytes_of_blocks(window: int, width: int) -> Column:
+    """How many bytes the blocks have, at most, into which ``cut_blocks`` cuts ``_ranges``."""
+
+    def of(one: Column) -> Column:
+        blocks = F.least(one["n"], F.floor(one["n"] / F.lit(width)) + 2)
+        return one["n"] + blocks * F.lit(window - 1)
+
+    return F.aggregate("_ranges", F.lit(0).cast("long"), lambda total, one: total + of(one))
+
+
 def cut_blocks(window: int, width: int):
     """Cuts ranges into blocks of ``width`` windows at the same distances from the anchor.
 
@@ -421,22 +456,35 @@ def repeated_bytes(
         F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"),
         row_key(doc_id, text).alias("_key"),
     )
-    once = singles(find_anchors(rows, window))
+    spark = docs.sparkSession
+    once = stored(singles(find_anchors(rows, window)))
+    n_single = once.agg(F.sum(F.size("single"))).first()[0] or 0
+    # Of random text two places in ``window - GRAM + 2`` are anchors; where text repeats itself more
+    # are, but those suffixes are equal.  The windows of an anchor all hold it.
+    n_text = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n_bytes = max(0, 2 * n_text // (window - GRAM + 2) - n_single) * (2 * window - GRAM)
     joined = rows.join(once.hint("shuffle_hash"), rows["_key"] == once["key"], "left")
 
     def cut_anchors(block: Block, single: pa.Array, powers: Powers) -> tuple[np.ndarray, ...]:
         return anchor_ranges(block, single, window, powers)
 
-    merged = sorted_and_merged(
-        joined.select("_key", "_text", "single", "_id"), cut_anchors, window, id_type
-    )
+    merged = stored(
+        sorted_and_merged(
+            joined.select("_key", "_text", "single", "_id"), cut_anchors, window, id_type,
+            n_parts(spark, n_bytes),
+        )
+    )
     late = [merged.where("late")]
     for width in (BLOCK_WINDOWS, 1):
-        again = still_open(merged)
+        again = stored(still_open(merged))
+        n_bytes = again.agg(F.sum(bytes_of_blocks(window, width))).first()[0] or 0
         chosen = rows.join(again.hint("shuffle_hash"), rows["_key"] == again["_open_key"])
-        merged = sorted_and_merged(
-            chosen.select("_key", "_text", "_ranges", "_id"), cut_blocks(window, width), window, id_type
-        )
+        merged = stored(
+            sorted_and_merged(
+                chosen.select("_key", "_text", "_ranges", "_id"), cut_blocks(window, width), window,
+                id_type, n_parts(spark, n_bytes),
+            )
+        )
         late.append(merged.where("late"))
     found = late[0]
     for more in late[1:]:

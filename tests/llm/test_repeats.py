@@ -65,6 +65,45 @@ def test_small_runs_are_merged(table, corpus, monkeypatch):
     assert got == brute_bytes(corpus, 100)
 
 
+def test_known_repeats_do_not_meet_in_one_group(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "LATE_ROWS", 10, raising=False)
+    writer = suffixes.RunWriter(4, pa.int64())
+    for k in range(50):
+        for copy in range(3):
+            writer.add(b"suffix %d" % k, ((False, copy, copy, k), 1, copy, copy, k, k, 1))
+    table = pa.Table.from_batches([writer.run()])
+    parts, late = table.column("part").to_pylist(), table.column("late_key").to_pylist()
+    held = {}
+    for part, keys in zip(parts, late):
+        held[part] = held.get(part, 0) + len(keys)
+    assert sum(held.values()) == 100 and max(held.values()) <= 10
+    assert all(part < 0 or not n for part, n in held.items())
+    out = []
+    for part in set(parts):
+        rows = table.filter(pa.compute.equal(table.column("part"), part))
+        out += suffixes.merge_runs(rows).to_pylist()
+    assert sorted((r["key"], r["start"]) for r in out if r["late"]) == [(c, k) for c in (1, 2) for k in range(50)]
+    assert sorted((r["key"], r["start"]) for r in out if not r["late"]) == [(0, k) for k in range(50)]
+
+
+def test_parts_grow_with_the_suffixes(table, corpus, monkeypatch):
+    monkeypatch.setattr(suffixes, "PART_BYTES", 300, raising=False)
+    seen = []
+    inner = suffixes.sorted_and_merged
+
+    def watched(rows, cut, window, id_type, parts=None):
+        seen.append(parts)
+        return inner(rows, cut, window, id_type, parts)
+
+    monkeypatch.setattr(suffixes, "sorted_and_merged", watched)
+    docs = table(corpus, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in suffixes.repeated_bytes(docs).collect()}
+    assert got == brute_bytes(corpus, 100)
+    assert seen[0] > 16 and len(seen) == 3
+
+
 def test_empty_tables_extra_columns_and_other_ids(table):
     empty = table([], "doc_id long, text string")
     assert phrases.repeated_phrases(empty).count() == 0
