@@ -16,6 +16,10 @@ from codecorpus.functions.rows import computed
 
 TURN_START = "<|im_start|>"
 TURN_END = "<|im_end|>\n"
+#: Bytes of JSON from which texts are read outside the variant, which holds no string of more than
+#: 20,000,000 characters and 128 MiB together.
+LONG_RECORD = 10_000_000
+_STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 
 
 @dataclass(frozen=True)
@@ -101,13 +105,30 @@ def field_paths(value: Column) -> Column:
     return F.concat(own, F.coalesce(nested, F.array().cast("array<string>")))
 
 
-def _string(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, f"$['{path}']", "string")
+def without_texts(record: Column) -> Column:
+    """The JSON with every string that is a value made empty, so that only its fields are left."""
+    pattern = f'(?s)("{_STRING}"\\s*+:)|("){_STRING}(")'
+    return F.regexp_replace(record, pattern, "$1$2$3")
 
 
-def _turns(value: Column, mapping: Mapping) -> Column:
+def _field(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, f"$['{path}']", kind)
+
+
+def _long_field(record: Column, path: str, kind: str) -> Column:
+    """A field of a JSON string of any length; the query fails if the record cannot be read whole.
+
+    Strings are the same as those of ``_field``; numbers are as they are written.
+    """
+    options = {"maxStringLen": str(2**31 - 1), "columnNameOfCorruptRecord": "_bad"}
+    read = F.from_json(record, f"`{path}` {kind}, _bad string", options)
+    error = F.raise_error(F.lit("a long record is not JSON that can be read whole"))
+    return F.when(read["_bad"].isNotNull(), error).otherwise(read[path])
+
+
+def _turns(value: Column, mapping: Mapping, field=_field) -> Column:
     if mapping.messages is not None:
-        items = F.try_variant_get(value, f"$['{mapping.messages}']", "array<map<string,string>>")
+        items = field(value, mapping.messages, "array<map<string,string>>")
 
         def one(item: Column) -> Column:
             role = F.coalesce(F.try_element_at(item, F.lit(mapping.role)), F.lit(""))
@@ -119,7 +140,7 @@ def _turns(value: Column, mapping: Mapping) -> Column:
         return F.transform(items, one)
     found = []
     for role, path in mapping.fields:
-        text = _string(value, path)
+        text = field(value, path, "string")
         present = F.lit(True) if path in mapping.required else text.isNotNull()
         turn = F.struct(F.lit(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
         found.append(F.when(present, turn))
@@ -140,17 +161,29 @@ def canonical_turns(
     """
     names = ["layout", "schema_hash", "turns"]
     rest = records.select(*[name for name in records.columns if name not in names])
-    rows = computed(rest, _value=F.try_parse_json(F.col(record)))
+    is_long = F.octet_length(record) > LONG_RECORD
+    fields = F.when(is_long, without_texts(F.col(record))).otherwise(F.col(record))
+    rows = computed(rest, _value=F.try_parse_json(fields))
     rows = computed(rows, schema_hash=path_hash(field_paths(F.col("_value"))))
     layout = F.lit(None).cast("string")
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for mapping in mappings:
         is_it = F.col("schema_hash") == path_hash(F.array(*[F.lit(p) for p in mapping.paths]))
         layout = F.when(is_it, F.lit(mapping.name)).otherwise(layout)
-        turns = F.when(is_it, _turns(F.col("_value"), mapping)).otherwise(turns)
+        whole = _turns(F.col(record), mapping, _long_field)
+        turns = (
+            F.when(is_it & is_long, whole).when(is_it, _turns(F.col("_value"), mapping)).otherwise(turns)
+        )
     return computed(rows, layout=layout, turns=turns).drop("_value")
 
 
+def sure_turns(rows: DataFrame, record: str = "record") -> DataFrame:
+    """``rows`` as they are; the query fails if a record that is not null has no turns."""
+    error = F.raise_error(F.lit("a record gives no turns: no JSON, too long, or of an unknown layout"))
+    lost = F.col("turns").isNull() & F.col(record).isNotNull()
+    return rows.withColumn("turns", F.when(lost, error).otherwise(F.col("turns")))
+
+
 def escaped(text: Column) -> Column:
     """A text in which no control string can occur: ``<|`` gets a backslash inside."""
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))

@@ -78,7 +78,7 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(hostile).alias("text"),
     )
     records = chat.turns_of_rows(rows.unionByName(probe))
-    formatted = chat.format_turns(chat.canonical_turns(records), "conv_id")
+    formatted = chat.format_turns(chat.sure_turns(chat.canonical_turns(records)), "conv_id")
     read = chat.read_formatted(formatted, "conv_id")
 
     def digest(text):

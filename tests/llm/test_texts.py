@@ -202,6 +202,29 @@ def test_bad_records_and_wrong_masks(table):
         chat.read_formatted(wrong, "k").collect()
 
 
+def test_long_records_are_read_whole(spark, table, monkeypatch):
+    n = 20_000_001
+    text = F.repeat(F.lit("x"), F.lit(n))
+    one = spark.range(1).select("id", F.to_json(F.struct(text.alias("prompt"), F.lit("b").alias("response"))).alias("record"))
+    rows = chat.canonical_turns(one)
+    assert rows.select("layout", F.transform("turns", lambda t: F.length(t["text"]))).first()[:] == (
+        "prompt_response", [n, 1],
+    )
+    hard = '{"a": "b"} \\" , ["x": {}] é\n'
+    records = [
+        {"messages": [{"role": "user", "content": hard}, {"role": hard, "content": None}]},
+        {"prompt": hard, "response": '{"messages": []}'},
+        {"instruction": None, "input": "a:", "output": ""},
+        {"something": 1},
+    ]
+    frame = table([(k, json.dumps(r)) for k, r in enumerate(records)], "k int, record string")
+    short = chat.canonical_turns(frame).orderBy("k").collect()
+    monkeypatch.setattr(chat, "LONG_RECORD", 0)
+    assert chat.canonical_turns(frame).orderBy("k").collect() == short
+    with pytest.raises(Exception, match="no turns"):
+        chat.sure_turns(chat.canonical_turns(frame)).collect()
+
+
 # --- HTML ----------------------------------------------------------------------------------------
 
 
