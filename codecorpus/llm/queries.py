@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.llm import (
-    chat, decontam, html_text, line_dedup, mixing, phrases, quality, simhash, suffixes, warc,
+    chat, decontam, html_text, line_dedup, mixing, phrases, quality, simhash, spelling, suffixes, toxicity,
+    warc, whitening,
 )
 from codecorpus.llm.oracle import ORACLE
 from codecorpus.session import shared_folder
@@ -132,6 +133,31 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spelling.spelling_variants(table(spark, folder, "documents"))
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.select(F.col("_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    both = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c")
+    one = rows.select("*", both)
+    return one.select(
+        F.col("_id").alias("vec_id"),
+        (F.col("place") + 1).alias("component"),
+        "n",
+        F.col("deviation").cast("long").alias("deviation"),
+        F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"),
+        "identity_error",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -143,6 +169,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_toxicity": op12_toxicity,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
