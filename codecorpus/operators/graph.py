@@ -85,42 +85,162 @@ def _core(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _reached(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per node the largest label of the nodes it can be reached from, its own included.
+
+    Labels move along the edges, one step per stored round, until none changes.
+    """
+    while True:
+        pushed = edges.join(labels.withColumnRenamed("node", "source"), ["repo", "source"]).select(
+            "repo", F.col("target").alias("node"), "label", F.lit(None).cast("string").alias("own")
+        )
+        rows = labels.select("repo", "node", "label", F.col("label").alias("own"))
+        labels = stored(
+            rows.unionByName(pushed)
+            .groupBy("repo", "node")
+            .agg(F.max("label").alias("label"), (F.max("label") > F.max("own")).alias("moved"))
+        )
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
+        labels = labels.drop("moved")
+
+
+def _reaching(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes from which the root of their label can be reached; edges join nodes of one label.
+
+    Steps go backwards from the nodes found last.
+    """
+    found = last = stored(roots)
+    while True:
+        step = edges.join(last.withColumnRenamed("node", "target"), ["repo", "target", "label"])
+        step = step.select("repo", F.col("source").alias("node"), "label").distinct()
+        last = stored(step.join(found, ["repo", "node", "label"], "left_anti"))
+        if last.isEmpty():
+            return found
+        found = stored(found.unionByName(last))
+
+
+def import_components(edges: DataFrame) -> DataFrame:
+    """Files that import each other in a circle, of any length: (repo, component, path, nodes).
+
+    These are the strongly connected components of at least two files; ``component`` is the
+    smallest path of one.  Nodes that nothing enters or leaves go first.  Then every node takes the
+    largest path it can be reached from; nodes with the same label that also reach the node of that
+    name are its component.  What is left of each label goes round again.
+    """
+    spark = edges.sparkSession
+    found = spark.createDataFrame([], "repo string, node string, label string")
+    left = edges.where("source <> target").select("repo", "source", "target").distinct()
+    left = _core(stored(left))
+    while not left.isEmpty():
+        ends = F.explode(F.array("source", "target")).alias("node")
+        nodes = left.select("repo", ends).distinct()
+        labels = _reached(stored(nodes.withColumn("label", F.col("node"))), left)
+        of_source = labels.select("repo", F.col("node").alias("source"), "label")
+        of_target = labels.select("repo", F.col("node").alias("target"), "label")
+        inner = left.join(of_source, ["repo", "source"]).join(of_target, ["repo", "target", "label"])
+        inner = stored(inner)
+        members = _reaching(labels.where("node = label"), inner)
+        found = found.unionByName(members)
+        taken = members.select("repo", "node")
+        rest = inner.join(taken.withColumnRenamed("node", "source"), ["repo", "source"], "left_anti")
+        rest = rest.join(taken.withColumnRenamed("node", "target"), ["repo", "target"], "left_anti")
+        left = _core(stored(rest.drop("label")))
+    sizes = found.groupBy("repo", "label").agg(
+        F.count(F.lit(1)).alias("nodes"), F.min("node").alias("component")
+    )
+    return (
+        found.join(sizes.where("nodes > 1"), ["repo", "label"])
+        .select("repo", "component", F.col("node").alias("path"), "nodes")
+    )
+
+
+def _distances(steps: DataFrame, most: int) -> DataFrame:
+    """(repo, start, node, distance): fewest edges from a node back to a smaller one, up to ``most``.
+
+    Only paths over nodes that are not smaller than the start count.  Breadth first, backwards, one
+    stored round per distance; the table holds each pair at most once.
+    """
+    back = steps.where(F.col("source") > F.col("target"))
+    found = last = stored(
+        back.select("repo", F.col("target").alias("start"), F.col("source").alias("node"), F.lit(1).alias("distance"))
+    )
+    for distance in range(2, most + 1):
+        step = last.select("repo", "start", F.col("node").alias("target")).join(steps, ["repo", "target"])
+        step = step.where(F.col("source") > F.col("start"))
+        step = step.select("repo", "start", F.col("source").alias("node")).distinct()
+        last = stored(
+            step.join(found, ["repo", "start", "node"], "left_anti").withColumn(
+                "distance", F.lit(distance)
+            )
+        )
+        if last.isEmpty():
+            break
+        found = found.unionByName(last)
+    return found
+
+
 def circular_deps(
-    edges: DataFrame, max_nodes: int = MAX_CYCLE_NODES, k: int = CYCLES_PER_REPO
+    edges: DataFrame,
+    max_nodes: int = MAX_CYCLE_NODES,
+    k: int | None = CYCLES_PER_REPO,
+    components: DataFrame | None = None,
 ) -> DataFrame:
-    """The first ``k`` import cycles per repository: (repo, rank, nodes, cycle).
+    """The first ``k`` import cycles per repository (all if None): (repo, rank, nodes, cycle).
 
     All simple cycles with at most ``max_nodes`` files count, shorter ones first, then by path; a
-    cycle starts and ends with its smallest path.  Paths grow by one edge per round from their
-    smallest node.  A repository that has ``k`` cycles after a round leaves the search: every
-    cycle still to come is longer, so its first ``k`` are settled.  This bounds dense graphs
-    without dropping a result.
+    cycle starts and ends with its smallest path.  Cycles of any length show in
+    ``import_components``; paths only use edges inside one component.
+
+    Paths grow by one edge per round from their smallest node.  A path is only continued to a node
+    whose distance back to the start still fits, so a graph without short cycles opens no path.  A
+    repository that has ``k`` cycles after a round leaves the search: every cycle still to come is
+    longer, so its first ``k`` are settled.
     """
     graph = stored(edges.select("repo", "source", "target").distinct())
     loop = F.col("source") == F.col("target")
-    steps = _core(stored(graph.where(~loop)))
     found = graph.where(loop).select("repo", F.array("source", "target").alias("cycle"))
-    open_paths = steps.where(F.col("target") > F.col("source")).select(
-        "repo", F.array("source", "target").alias("nodes")
+    components = stored(import_components(graph) if components is None else components)
+    of_source = components.select("repo", F.col("path").alias("source"), "component")
+    of_target = components.select("repo", F.col("path").alias("target"), "component")
+    steps = stored(
+        graph.where(~loop)
+        .join(of_source, ["repo", "source"])
+        .join(of_target, ["repo", "target", "component"])
+        .select("repo", "source", "target")
+    )
+    back = stored(_distances(steps, max_nodes - 1))
+    ahead = back.select("repo", "start", F.col("node").alias("target"), "distance")
+    open_paths = (
+        steps.where(F.col("target") > F.col("source"))
+        .withColumn("start", F.col("source"))
+        .join(ahead.where(F.col("distance") + 1 <= max_nodes), ["repo", "start", "target"])
+        .select("repo", "start", F.array("source", "target").alias("nodes"), "distance")
     )
-    start, end = F.col("nodes")[0], F.element_at("nodes", -1)
-    for _ in range(max_nodes - 1):
-        settled = found.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-        grown = stored(
-            open_paths.join(settled.select("repo"), "repo", "left_anti")
-            .withColumn("source", end)
+    for length in range(2, max_nodes + 1):
+        # Open paths hold `length` nodes; those one edge from their start close now.
+        open_paths = stored(open_paths)
+        closed = open_paths.where("distance = 1")
+        found = found.unionByName(
+            closed.select("repo", F.array_append("nodes", F.col("start")).alias("cycle"))
+        )
+        if length == max_nodes:
+            break
+        going = open_paths
+        if k is not None:
+            settled = found.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+            going = going.join(settled.select("repo"), "repo", "left_anti")
+        open_paths = (
+            going.select("repo", "start", "nodes", F.element_at("nodes", -1).alias("source"))
             .join(steps, ["repo", "source"])
-            .where(F.col("target") >= start)
-            .where(
-                (F.col("target") == start) | ~F.array_contains(F.col("nodes"), F.col("target"))
+            .where(~F.array_contains(F.col("nodes"), F.col("target")))
+            .join(
+                ahead.where(F.col("distance") + length <= max_nodes),
+                ["repo", "start", "target"],
             )
-            .select("repo", F.array_append("nodes", F.col("target")).alias("nodes"))
-        )
-        found = found.unionByName(
-            grown.where(end == start).select("repo", F.col("nodes").alias("cycle"))
+            .select("repo", "start", F.array_append("nodes", F.col("target")).alias("nodes"), "distance")
         )
-        open_paths = grown.where(end != start)
-        if open_paths.isEmpty():
+        if going.isEmpty():
             break
     nodes = (F.size("cycle") - 1).alias("nodes")
     ranked = top_k(found.select("repo", "cycle", nodes), k, F.col("nodes"), F.col("cycle"))

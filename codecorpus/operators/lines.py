@@ -106,22 +106,3 @@ def grouped_counts(rows: DataFrame, dimensions: dict[str, str]) -> DataFrame:
 
 def markers_by_severity(markers: DataFrame, severity: str = "all") -> DataFrame:
     return markers if severity == "all" else markers.where(F.col("severity") == severity)
-
-
-def result_context(hits: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
-    """Lines around every hit: (hit columns…, context_line_no, text).
-
-    Hits are expanded to line numbers and joined on (repo, path, line); the lines themselves come
-    only from files that have a hit.
-    """
-    wanted = hits.withColumn(
-        "context_line_no",
-        F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)),
-    ).where(F.col("context_line_no") >= 1)
-    hit_files = hits.select("repo", "path").distinct()
-    lines = explode_lines(files.join(hit_files, ["repo", "path"], "left_semi"))
-    return wanted.join(
-        lines.withColumnRenamed("line_no", "context_line_no"), ["repo", "path", "context_line_no"]
-    )
-
-

@@ -9,9 +9,9 @@ from codecorpus.functions import paths
 
 
 def top_k(
-    rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("repo",), where=None
+    rows: DataFrame, k: int | None, *order: Column, by: tuple[str, ...] = ("repo",), where=None
 ) -> DataFrame:
-    """The first ``k`` rows of every group, numbered by ``rank``.
+    """The first ``k`` rows of every group (all rows if None), numbered by ``rank``.
 
     Spark turns the filter on ``row_number`` into a limit per group that runs before the shuffle,
     so a group that holds most rows still sends at most ``k`` rows per partition.
@@ -19,7 +19,8 @@ def top_k(
     if where is not None:
         rows = rows.where(where)
     window = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", F.row_number().over(window))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def largest_files(files: DataFrame, k: int = 10) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims, paths
-from codecorpus.functions.rows import unnest
-from codecorpus.functions.text import SPACE, WORD
+from codecorpus.functions.rows import computed, unnest
+from codecorpus.functions.text import SPACE, WORD, split_lines
 from codecorpus.operators.lines import explode_lines
 from codecorpus.operators.rank import top_k
+from codecorpus.session import broadcast_if_small, stored
 
 S, W = f"[{SPACE}]", f"[{WORD}]"
 
@@ -118,24 +121,37 @@ def search_terms(prepared: DataFrame, synonyms: DataFrame) -> DataFrame:
     return primary.unionByName(related).unionByName(phrases)
 
 
-def _first_group(text: Column, patterns: list[str]) -> Column:
-    """Name captured by the first pattern that matches."""
-    tests = []
+def _groups(text: Column, patterns: list[str]) -> Column:
+    """Names captured by each pattern, in order; empty where a pattern does not match."""
+    groups = []
     for pattern in patterns:
-        groups = [F.regexp_extract(text, pattern, 1)]
+        groups.append(F.regexp_extract(text, pattern, 1))
         if pattern == FUNCTION_LINES[1]:
             groups.append(F.regexp_extract(text, pattern, 2))
-        tests += [F.when(g != "", g) for g in groups]
-    return F.coalesce(*tests)
+    return F.array(*groups)
+
+
+def _first_name(groups: str) -> Column:
+    return F.get(F.filter(groups, lambda g: g != ""), F.lit(0))
 
 
 def indexed_lines(files: DataFrame) -> DataFrame:
-    """Lines with the names they define and their kind (the last applicable one)."""
-    text = F.col("text")
-    named = explode_lines(files).select(
-        "*",
-        F.when(text.rlike(DEFINING), _first_group(text, FUNCTION_LINES)).alias("function_name"),
-        F.when(text.rlike(DEFINING), _first_group(text, CLASS_LINES)).alias("class_name"),
+    """Lines with the names they define and their kind (the last applicable one).
+
+    What the patterns capture is bound before it is used, so each runs once per line and the plan
+    stays compiled.
+    """
+    text, defines = F.col("text"), F.col("text").rlike(DEFINING)
+    lines = explode_lines(files)
+    bound = computed(
+        lines,
+        functions=F.when(defines, _groups(text, FUNCTION_LINES)),
+        classes=F.when(defines, _groups(text, CLASS_LINES)),
+    )
+    named = bound.select(
+        *lines.columns,
+        _first_name("functions").alias("function_name"),
+        _first_name("classes").alias("class_name"),
     )
     kind = (
         F.when(text.rlike(COMMENT), "comment")
@@ -159,11 +175,12 @@ def tokenize(lines: DataFrame) -> DataFrame:
 
 
 def build_index(files: DataFrame) -> DataFrame:
-    """Postings: (repo, path, line_no, ordinal, token, kind, context).
+    """Postings: (repo, path, line_no, ordinal, token, kind).
 
     Every line yields, in this order, the function it defines, the class it defines and its
     words; the stem of the file name adds postings on line 1.  One pass over the lines: the
-    postings of a line are one array that is exploded, so lines are not read once per kind.
+    postings of a line are one array that is exploded, so lines are not read once per kind.  The
+    text of a line is no part of its postings.
     """
     def posting(token: Column, kind: Column) -> Column:
         return F.struct(token.alias("token"), kind.alias("kind"))
@@ -174,22 +191,19 @@ def build_index(files: DataFrame) -> DataFrame:
             F.array().cast("array<struct<token:string,kind:string>>")
         )
 
+    lines = computed(indexed_lines(files), tokens=tokens_of(F.col("text"))).drop("text")
     of_line = F.concat(
         defined("function_name", "function"),
         defined("class_name", "class"),
-        F.transform(tokens_of(F.col("text")), lambda t: posting(t, F.col("kind"))),
-    )
-    columns = ["repo", "path", "line_no", "ordinal", "token", "kind", "context"]
-    keep = ["repo", "path", "line_no", F.col("text").alias("context")]
-    by_line = unnest(indexed_lines(files), keep, of_line, "p", "ordinal").select("*", "p.*")
-    by_line = by_line.select(*columns)
-    first_line = F.regexp_extract(
-        "content", r"^([^\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]*)", 1
+        F.transform("tokens", lambda t: posting(t, F.col("kind"))),
     )
+    columns = ["repo", "path", "line_no", "ordinal", "token", "kind"]
+    keep = ["repo", "path", "line_no"]
+    by_line = unnest(lines, keep, of_line, "p", "ordinal").select(*keep, "ordinal", "p.*")
     by_name = (
         unnest(
             files.where(F.col("content").isNotNull()),
-            ["repo", "path", F.lit(1).alias("line_no"), first_line.alias("context")],
+            ["repo", "path", F.lit(1).alias("line_no")],
             tokens_of(paths.stem(F.col("name"))),
             "token",
             "pos",
@@ -197,64 +211,135 @@ def build_index(files: DataFrame) -> DataFrame:
         .withColumn("kind", F.lit("filename"))
         # After every posting of the line itself.
         .withColumn("ordinal", F.col("pos") + F.lit(1 << 24))
-        .select(*columns)
     )
-    return by_line.unionByName(by_name)
+    return by_line.select(*columns).unionByName(by_name.select(*columns))
+
+
+BUCKETS = 256
+#: Parts of a bucket, by file: a word that occurs everywhere is dealt over so many tasks.
+SPREAD = 16
+
+
+def _bucket(token: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def _part(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("repo", "path"), F.lit(buckets)).cast("int")
+
+
+@dataclass
+class SearchIndex:
+    """Two stored tables: posting blocks by bucket of their word, texts by part of their file.
+
+    ``blocks`` has one row per word and file, (bucket, token, repo, path, entries), where an entry is
+    (line_no, ordinal, kind); ``texts`` has (part, repo, path, content).  ``bucket`` and ``part`` are
+    partition columns, so a lookup reads the folders of its words only, and a fetch those of its files.
+    """
+
+    blocks: DataFrame
+    texts: DataFrame
+    buckets: int
+
+
+def posting_blocks(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, token, repo, path, entries) by one shuffle on bucket and part of the file."""
+    slot = F.pmod(F.xxhash64("repo", "path"), F.lit(SPREAD)).cast("int")
+    keyed = postings.select("*", _bucket("token", buckets).alias("bucket"), slot.alias("slot"))
+    return (
+        keyed.repartition("bucket", "slot")
+        .groupBy("bucket", "slot", "token", "repo", "path")
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "ordinal", "kind"))).alias("entries"))
+        .drop("slot")
+    )
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 256) -> None:
-    """Postings as Parquet, clustered by token.
+def write_index(files: DataFrame, folder: str, buckets: int = BUCKETS) -> SearchIndex:
+    """Writes the index of ``files`` and opens it.
 
-    Files are split by a hash of the token and the repository, so a word that occurs everywhere
-    does not end up in one task; inside a file rows are sorted by token, which lets row-group
-    statistics skip data on lookup.
+    Inside a bucket rows are sorted by word and file, so the statistics of row groups skip more.
     """
-    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-    (
-        postings.withColumn("bucket", bucket)
-        .repartition("bucket", F.pmod(F.xxhash64("repo", "path"), F.lit(16)))
-        .sortWithinPartitions("bucket", "token", "repo", "path", "line_no")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
+    blocks = posting_blocks(build_index(files), buckets)
+    blocks = blocks.sortWithinPartitions("bucket", "token", "repo", "path")
+    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
+    texts = files.where(F.col("content").isNotNull()).select(
+        "repo", "path", "content", _part(buckets).alias("part")
+    )
+    texts = texts.repartition("part").sortWithinPartitions("part", "repo", "path")
+    texts.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/texts")
+    return open_index(files.sparkSession, folder, buckets)
+
+
+def open_index(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> SearchIndex:
+    """The stored index; ``buckets`` as it was written."""
+    blocks = "token string, repo string, path string, "
+    blocks += "entries array<struct<line_no:int,ordinal:int,kind:string>>, bucket int"
+    texts = "repo string, path string, content string, part int"
+    return SearchIndex(
+        spark.read.schema(blocks).parquet(f"{folder}/blocks"),
+        spark.read.schema(texts).parquet(f"{folder}/texts"),
+        buckets,
     )
 
 
-def lookup_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the words of every query: postings ⋈ terms on token."""
-    return postings.join(terms, "token")
+def _folders(rows: DataFrame, number: Column) -> list[int]:
+    """The distinct partition numbers of some rows; at most as many as there are folders."""
+    return sorted(r[0] for r in rows.select(number).distinct().collect())
+
+
+def lookup_postings(index: SearchIndex, terms: DataFrame) -> DataFrame:
+    """Blocks of the wanted words, with the columns of ``terms`` (token and others).
+
+    The folders of the words are computed first and are literals of the scan.  Terms are joined as
+    a broadcast when their count proves them small; otherwise blocks and terms are dealt by word
+    and slot of the file, each term once per slot, so a word that stands in most files is no hot key.
+    """
+    terms = stored(terms)
+    buckets = _folders(terms, _bucket("token", index.buckets))
+    blocks = index.blocks.where(F.col("bucket").isin(buckets)).drop("bucket")
+    small = broadcast_if_small(terms)
+    if small is not terms:
+        return blocks.join(small, "token")
+    slot = F.pmod(F.xxhash64("repo", "path"), F.lit(SPREAD)).cast("int")
+    every = terms.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return blocks.withColumn("_slot", slot).join(every, ["token", "_slot"]).drop("_slot")
+
+
+def single_postings(found: DataFrame) -> DataFrame:
+    """One row per posting of the found blocks."""
+    others = [c for c in found.columns if c != "entries"]
+    return found.select(*others, F.inline("entries"))
 
 
 def search_filters(found: DataFrame) -> DataFrame:
     """Keep postings that pass the language, kind and file-name filter of their query.
 
-    A posting carries ``language`` and ``name``; a filter that a query does not set passes.
+    Language and name follow from ``path``; a filter that a query does not set passes.
     """
-    language = F.lower("language").contains(F.col("language_filter"))
+    file_name = paths.file_name(F.col("path"))
+    language = F.lower(paths.language_of(file_name)).contains(F.col("language_filter"))
     kind = ~F.col("type_filter").isin("function", "class") | (
         F.col("type_filter") == F.col("kind")
     )
-    name = F.lower("name").contains(F.col("filename_filter"))
-    return found.where(
-        F.coalesce(language, F.lit(True))
-        & F.coalesce(kind, F.lit(True))
-        & F.coalesce(name, F.lit(True))
+    name = F.lower(file_name).contains(F.col("filename_filter"))
+    return (
+        found.where(F.coalesce(language, F.lit(True)))
+        .where(F.coalesce(name, F.lit(True)))
+        .where(F.coalesce(kind, F.lit(True)))
     )
 
 
 def score_postings(found: DataFrame) -> DataFrame:
-    """Adds ``score_milli``: base by kind × phrases × synonym × recent file × test file.
+    """Adds ``score_milli``: base by kind × synonym × recent file × test file.
 
     ``found`` has the posting, the pass, the parsed query and ``is_recent``.  Whole thousandths
-    make sums independent of their order.
+    make sums independent of their order.  Phrases multiply the sum of a line, see ``phrase_hits``.
     """
     base = (
         F.when(F.col("kind").isin("function", "class"), 5)
         .when(F.col("kind") == "filename", 3)
         .otherwise(1)
     )
-    line = F.lower("context")
-    hits = F.size(F.filter("exact_phrases", lambda p: line.contains(F.lower(p))))
     asks_test = F.array_contains("keywords", "test") | F.exists(
         "exact_phrases", lambda p: F.lower(p).contains("test")
     )
@@ -265,47 +350,131 @@ def score_postings(found: DataFrame) -> DataFrame:
         * F.when(F.col("is_recent"), 12).otherwise(10)
         * F.when(penalised, 8).otherwise(10)
     )
-    tens = F.pow(F.lit(10.0), hits).cast("decimal(30,0)")
-    return found.withColumn("score_milli", milli.cast("decimal(7,0)") * tens)
+    return found.withColumn("score_milli", milli.cast("long"))
 
 
-def rank_search(
-    files: DataFrame,
-    searches: DataFrame,
-    synonyms: DataFrame,
-    recent_files: DataFrame | None = None,
-    postings: DataFrame | None = None,
-    k: int = 30,
-) -> DataFrame:
-    """Best ``k`` lines per query, with ``score_milli`` (thousandths), kind and context.
+def fetch_lines(index: SearchIndex, wanted: DataFrame) -> DataFrame:
+    """Texts of the wanted lines: (repo, path, line_no, text).
+
+    Wanted lines are gathered per file, and only the folders of these files are read.  Of each text
+    just the wanted lines leave the task that reads it.  Line 1 of an empty file is empty.
+    """
+    per_file = stored(
+        wanted.groupBy("repo", "path").agg(F.collect_set("line_no").alias("_numbers"))
+    )
+    texts = index.texts.where(F.col("part").isin(_folders(per_file, _part(index.buckets))))
+    joined = texts.drop("part").join(broadcast_if_small(per_file), ["repo", "path"])
+    split = computed(joined, _lines=split_lines(F.col("content")))
+    taken = F.transform(
+        "_numbers",
+        lambda n: F.struct(
+            n.alias("line_no"),
+            F.coalesce(F.get("_lines", n - 1), F.when(n == 1, F.lit(""))).alias("text"),
+        ),
+    )
+    lines = split.select("repo", "path", F.inline(taken))
+    return lines.where(F.col("text").isNotNull())
+
+
+def phrase_hits(index: SearchIndex, lines: DataFrame) -> DataFrame:
+    """How many of its query's phrases a line holds: (query_id, repo, path, line_no, hits > 0).
 
-    Scores of a line add up over all its postings; kind and context come from its first posting.
-    Postings that no query asks for are dropped by the join on ``token`` before anything moves;
-    aggregation is per (query, line) and starts map-side.
+    ``lines`` has the keys and ``exact_phrases``.  Phrases are any text, also parts of words, which
+    no index of words can answer, so the lines found by the words of the phrases are looked at.
     """
-    prepared = prepare_searches(searches)
-    terms = search_terms(prepared, synonyms)
-    postings = build_index(files) if postings is None else postings
-    found = lookup_postings(postings, terms).join(prepared.drop("query"), "query_id")
-    name = paths.file_name(F.col("path"))
-    found = found.withColumns({"name": name, "language": paths.language_of(name)})
-    found = search_filters(found)
+    keys = ["repo", "path", "line_no"]
+    texts = fetch_lines(index, lines.select(*keys))
+    line = F.lower("text")
+    hits = F.size(F.filter("exact_phrases", lambda p: line.contains(F.lower(p))))
+    found = lines.select("query_id", *keys, "exact_phrases").join(texts, keys)
+    return found.select("query_id", *keys, hits.alias("hits")).where("hits > 0")
+
+
+QUERY_COLUMNS = [
+    "query_id", "keywords", "exact_phrases", "language_filter", "type_filter", "filename_filter",
+]
+
+
+def query_terms(prepared: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Words to look up with the parsed query they belong to."""
+    return search_terms(prepared, synonyms).join(prepared.select(*QUERY_COLUMNS), "query_id")
+
+
+def found_postings(
+    index: SearchIndex, terms: DataFrame, recent_files: DataFrame | None = None
+) -> DataFrame:
+    """Postings of ``query_terms`` that pass the filters, with ``is_recent`` and ``score_milli``."""
+    found = lookup_postings(index, terms)
     if recent_files is None:
         found = found.withColumn("is_recent", F.lit(False))
     else:
         recent = recent_files.select("repo", "path").distinct().withColumn("is_recent", F.lit(True))
         found = found.join(recent, ["repo", "path"], "left").fillna(False, ["is_recent"])
+    return score_postings(search_filters(single_postings(found)))
+
+
+def scored_lines(
+    index: SearchIndex, terms: DataFrame, recent_files: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, repo, path, line_no, score_milli, kind) of every line that a query finds.
+
+    Scores of a line add up over all its postings; its kind comes from its first posting.
+    Aggregation is on keys, starts map-side and moves no text.  Only queries with phrases look at
+    the lines they found.
+    """
+    keys = ["query_id", "repo", "path", "line_no"]
     order = F.struct("pass", "term_no", "token", "ordinal")
-    lines = (
-        score_postings(found)
-        .groupBy("query_id", "repo", "path", "line_no")
-        .agg(
-            F.sum("score_milli").alias("score_milli"),
-            F.min_by("kind", order).alias("kind"),
-            F.min_by("context", order).alias("context"),
+
+    def summed(mine: DataFrame, *more: str) -> DataFrame:
+        return (
+            found_postings(index, mine, recent_files)
+            .groupBy(*keys)
+            .agg(
+                F.sum("score_milli").cast("decimal(38,0)").alias("score_milli"),
+                F.min_by("kind", order).alias("kind"),
+                *[F.any_value(c).alias(c) for c in more],
+            )
         )
+
+    has_phrase = F.size("exact_phrases") > 0
+    plain = summed(terms.where(~has_phrase))
+    lines = stored(summed(terms.where(has_phrase), "exact_phrases"))
+    hits = phrase_hits(index, lines)
+    tens = F.pow(F.lit(10.0), F.coalesce("hits", F.lit(0))).cast("decimal(20,0)")
+    phrased = lines.join(hits, keys, "left").withColumn(
+        "score_milli", (F.col("score_milli") * tens).cast("decimal(38,0)")
     )
-    return top_results(lines, k)
+    return plain.unionByName(phrased.select(*plain.columns))
+
+
+def rank_search(
+    index: SearchIndex,
+    searches: DataFrame,
+    synonyms: DataFrame,
+    recent_files: DataFrame | None = None,
+    k: int = 30,
+) -> DataFrame:
+    """Best ``k`` lines per query: query_id, rank, repo, path, line_no, score_milli, kind, context.
+
+    Lines are ranked by their keys; the texts of the ``k`` lines per query that are left are
+    fetched at the end.
+    """
+    terms = query_terms(prepare_searches(searches), synonyms)
+    best = stored(top_results(scored_lines(index, terms, recent_files), k))
+    keys = ["repo", "path", "line_no"]
+    texts = fetch_lines(index, best.select(*keys)).withColumnRenamed("text", "context")
+    return best.join(texts, keys, "left")
+
+
+def result_context(hits: DataFrame, index: SearchIndex, around: int = 3) -> DataFrame:
+    """Lines around every hit: (hit columns…, context_line_no, text), from the files of the hits."""
+    number = F.sequence(F.col("line_no") - around, F.col("line_no") + around)
+    wanted = hits.withColumn("context_line_no", F.explode(number)).where("context_line_no >= 1")
+    keys = ["repo", "path", F.col("context_line_no").alias("line_no")]
+    lines = fetch_lines(index, wanted.select(*keys))
+    # Line 1 of an empty file is a result without lines around it.
+    lines = lines.withColumnRenamed("line_no", "context_line_no")
+    return wanted.join(lines, ["repo", "path", "context_line_no"])
 
 
 def top_results(lines: DataFrame, k: int = 30) -> DataFrame:
@@ -329,7 +498,7 @@ def group_results_by_file(results: DataFrame) -> DataFrame:
     )
 
 
-def find_files(files: DataFrame, text: str, k: int = 500) -> DataFrame:
-    """First paths per repository that contain a text, whatever its case."""
+def find_files(files: DataFrame, text: str, k: int | None = None) -> DataFrame:
+    """Paths per repository that contain a text, whatever its case; the first ``k`` if given."""
     matching = files.where(F.lower("path").contains(text.lower())).select("repo", "path")
     return top_k(matching, k, F.col("path"))

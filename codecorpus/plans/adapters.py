@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims
+from codecorpus.operators import search
 from codecorpus.plans.analysis import CorpusAnalysis
 from codecorpus.session import shared_folder
 from codecorpus.sources.corpus import spread
@@ -377,6 +378,11 @@ class Tables:
     def _store(self) -> str:
         return f"{shared_folder(self.spark)}/codecorpus-{uuid.uuid4().hex}"
 
+    @cache
+    def index(self) -> search.SearchIndex:
+        """The stored search index of the corpus."""
+        return search.write_index(self.whole_stored().files, self._store(), buckets=32)
+
     @cache
     def searches(self) -> DataFrame:
         """Three words of each benchmark text as a query; some get a phrase or filters."""

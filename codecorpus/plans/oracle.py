@@ -486,6 +486,16 @@ check("agg12_external_deps", "select package, count(*) as repos from packages gr
 CTES["links"] = (
     "select distinct repo, source, target from edges"
 )
+CTES["reach"] = (
+    "select repo, source as a, target as b from links where source <> target union "
+    "select r.repo, r.a, l.target from reach r join links l on l.repo = r.repo and l.source = r.b"
+)
+check(
+    "grf1_import_components",
+    "select repo, component, path, count(*) over (partition by repo, component) as nodes from ("
+    "select x.repo, x.a as path, min(x.b) as component from reach x join reach y on y.repo = x.repo "
+    "and y.a = x.b and y.b = x.a group by x.repo, x.a having count(distinct x.b) > 1)",
+)
 CTES["walks"] = (
     "select repo, [source, target] as nodes from links where target >= source union all "
     "select w.repo, list_append(w.nodes, l.target) from walks w join links l on l.repo = w.repo "
@@ -637,7 +647,7 @@ check(
 check(
     "flt4_find_files",
     "select * from (select repo, path, row_number() over (partition by repo order by path) as rank "
-    "from corpus where contains(lower(path), 'm1')) where rank <= 500",
+    "from corpus where contains(lower(path), 'm1'))",
 )
 
 # --- entry points -------------------------------------------------------------------------
@@ -1177,10 +1187,13 @@ CTES["postings"] = (
     f"length(name) - length(suffix)), '[a-zA-Z_]{_W}*'), lambda x: lower(x)), "
     "lambda x: length(x) >= 2)) as token from spoken)"
 )
+_ENTRIES = (
+    "count(*) as postings, md5(string_agg(concat(line_no, ':', kind), '|' order by "
+    "concat(line_no, ':', kind))) as entries_md5"
+)
 check(
     "sch4_build_index",
-    "select token, kind, count(*) as postings, cast(sum(line_no) as bigint) as line_sum "
-    "from postings group by token, kind",
+    f"select token, repo, path, {_ENTRIES} from postings group by token, repo, path",
 )
 CTES["found"] = (
     "select p.*, t.query_id, t.pass, t.term_no, q.keywords, q.phrases, q.lang_f, q.type_f, q.in_f "
@@ -1188,9 +1201,8 @@ CTES["found"] = (
 )
 check(
     "jn5_lookup_postings",
-    "select query_id, pass, token, kind, count(*) as postings, count(distinct concat(repo, ' ', "
-    "path)) as files, cast(sum(line_no) as bigint) as line_sum from found "
-    "group by query_id, pass, token, kind",
+    f"select query_id, pass, term_no - 1 + cast(pass = 1 as integer) as term_no, token, repo, path, "
+    f"{_ENTRIES} from found group by query_id, pass, term_no, token, repo, path",
 )
 _PASSES = (
     "(lang_f is null or contains(lower(language), lang_f)) and (type_f is null or type_f not in "
@@ -1199,32 +1211,31 @@ _PASSES = (
 )
 check(
     "flt3_search_filters",
-    "select distinct q.query_id, k.repo, k.path, k.line_no, k.token as w from (select repo, path, "
-    "language, line_no, kind, token, 0 as x from line_words"
-    ") k join (select query_id, unnest(keywords) as w, lang_f, type_f, in_f from "
-    f"prepared) q on q.w = k.token where {_PASSES}",
+    "select distinct query_id, repo, path, line_no, token, kind from found "
+    f"where pass = 0 and {_PASSES}",
 )
 _SCORE = (
-    "cast(case when kind in ('function', 'class') then 5 when kind = 'filename' then 3 else 1 end "
+    "case when kind in ('function', 'class') then 5 when kind = 'filename' then 3 else 1 end "
     "* case when pass = 1 then 3 else 10 end * case when {recent} then 12 else 10 end * case when "
     f"not (list_contains(keywords, 'test') or contains(lower(array_to_string(phrases, chr(0))), "
-    f"'test')) and {_TEST_SEARCH} then 8 else 10 end * pow(10, len(list_filter(phrases, "
-    "lambda x: contains(lower(text), lower(x))))) as bigint)"
+    f"'test')) and {_TEST_SEARCH} then 8 else 10 end"
 )
+_TENS = "pow(10, len(list_filter(phrases, lambda x: contains(lower(text), lower(x)))))"
 check(
     "sch5_score_postings",
-    "select query_id, pass, kind, count(*) as postings, cast(sum("
+    "select query_id, pass, kind, repo, path, count(*) as postings, cast(sum("
     + _SCORE.format(recent="false")
-    + f") as bigint) as score_milli from found where {_PASSES} group by query_id, pass, kind",
+    + f") as bigint) as score_milli from found where {_PASSES} "
+    "group by query_id, pass, kind, repo, path",
 )
 CTES["scored"] = (
-    "select *, "
+    "select *, cast("
     + _SCORE.format(recent="(repo, path) in (select (repo, path) from recent)")
-    + f" as s from found where {_PASSES}"
+    + f" * {_TENS} as bigint) as s from found where {_PASSES}"
 )
 CTES["hit_lines"] = (
     "select query_id, repo, path, line_no, cast(sum(s) as bigint) as score_milli, arg_min(kind, "
-    "{'a': pass, 'b': term_no, 'c': token, 'd': ord}) as kind from scored "
+    "{'a': pass, 'b': term_no, 'c': token, 'd': ord}) as kind, md5(min(text)) as context_md5 from scored "
     "group by query_id, repo, path, line_no"
 )
 CTES["ranked"] = (
@@ -1233,7 +1244,8 @@ CTES["ranked"] = (
 )
 check(
     "sch6_rank_search",
-    "select query_id, rank, repo, path, line_no, kind, score_milli from ranked where rank <= 30",
+    "select query_id, rank, repo, path, line_no, kind, score_milli, context_md5 from ranked "
+    "where rank <= 30",
 )
 check(
     "win6_top_results",

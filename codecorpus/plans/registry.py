@@ -201,20 +201,10 @@ def flt2_findings_min_severity(t: Tables) -> DataFrame:
 
 @query
 def flt3_search_filters(t: Tables) -> DataFrame:
-    prepared = search.prepare_searches(t.searches())
-    name = paths.file_name(F.col("path"))
-    kept = search.indexed_lines(t.whole_stored().files).select(
-        "repo", "path", "line_no", "kind", name.alias("name"), paths.language_of(name).alias("language")
-    )
-    wanted = prepared.select(
-        "query_id", "language_filter", "type_filter", "filename_filter", F.explode("keywords").alias("w")
-    )
-    words = search.tokenize(lines.explode_lines(t.whole_stored().files)).select(
-        "repo", "path", "line_no", F.col("token").alias("w")
-    )
-    found = kept.join(words.distinct(), ["repo", "path", "line_no"]).join(wanted, "w")
-    kept = search.search_filters(found).select("query_id", "repo", "path", "line_no", "w")
-    return kept.distinct()
+    """Postings of the keywords that pass the filters of their query."""
+    found = search.lookup_postings(t.index(), _terms(t).where(F.col("pass") == search.PRIMARY))
+    kept = search.search_filters(search.single_postings(found))
+    return kept.select("query_id", "repo", "path", "line_no", "token", "kind").distinct()
 
 
 @query
@@ -408,19 +398,23 @@ def jn4_expand_synonyms(t: Tables) -> DataFrame:
 
 
 def _terms(t: Tables) -> DataFrame:
-    return search.search_terms(
+    return search.query_terms(
         search.prepare_searches(t.searches()), search.synonym_table(t.spark)
     )
 
 
+def _entries() -> Column:
+    """The postings of a block as one text, in an order that needs no positions."""
+    one = F.transform("entries", lambda e: F.concat(e["line_no"].cast("string"), F.lit(":"), e["kind"]))
+    return F.md5(F.array_join(F.array_sort(one), "|"))
+
+
 @query
 def jn5_lookup_postings(t: Tables) -> DataFrame:
-    found = search.lookup_postings(search.build_index(t.whole().files), _terms(t))
-    return found.groupBy("query_id", "pass", "token", "kind").agg(
-        F.count(F.lit(1)).alias("postings"),
-        F.count_distinct("repo", "path").alias("files"),
-        F.sum("line_no").alias("line_sum"),
-    )
+    return search.lookup_postings(t.index(), _terms(t)).select(
+        "query_id", "pass", "term_no", "token", "repo", "path",
+        F.size("entries").cast("long").alias("postings"), _entries().alias("entries_md5"),
+    )
 
 
 @query
@@ -633,7 +627,7 @@ def win4_marker_context(t: Tables) -> DataFrame:
 @query
 def win5_result_context(t: Tables) -> DataFrame:
     hits = _results(t).select("query_id", "repo", "path", "line_no", "rank")
-    return lines.result_context(hits, t.whole().files).select(
+    return search.result_context(hits, t.index()).select(
         "query_id", "rank", "context_line_no", F.md5("text").alias("text_md5")
     )
 
@@ -665,6 +659,11 @@ def set2_entry_points(t: Tables) -> DataFrame:
     return t.whole_stored().entry_points
 
 
+@query
+def grf1_import_components(t: Tables) -> DataFrame:
+    return graph.import_components(t.whole().edges)
+
+
 @query
 def grf1_circular_deps(t: Tables) -> DataFrame:
     return t.whole_stored().cycles.select("repo", "rank", "nodes", listed("cycle"))
@@ -732,31 +731,23 @@ def sch3_line_kind(t: Tables) -> DataFrame:
 
 @query
 def sch4_build_index(t: Tables) -> DataFrame:
-    return search.build_index(t.whole().files).groupBy("token", "kind").agg(
-        F.count(F.lit(1)).alias("postings"), F.sum("line_no").alias("line_sum")
+    return search.posting_blocks(search.build_index(t.whole_stored().files)).select(
+        "token", "repo", "path", F.size("entries").cast("long").alias("postings"),
+        _entries().alias("entries_md5"),
     )
 
 
 def _results(t: Tables, k: int = 30) -> DataFrame:
-    a = t.whole()
-    return search.rank_search(
-        a.files, t.searches(), search.synonym_table(t.spark), history.recent_files(t.commits()), k=k
-    )
+    recent = history.recent_files(t.commits())
+    return search.rank_search(t.index(), t.searches(), search.synonym_table(t.spark), recent, k)
 
 
 @query
 def sch5_score_postings(t: Tables) -> DataFrame:
-    """Total score per query, pass and kind over all postings that pass the filters."""
-    prepared = search.prepare_searches(t.searches())
-    name = paths.file_name(F.col("path"))
-    found = search.lookup_postings(search.build_index(t.whole().files), _terms(t))
-    found = found.join(prepared.drop("query"), "query_id").withColumns(
-        {"name": name, "language": paths.language_of(name), "is_recent": F.lit(False)}
-    )
-    scored = search.score_postings(search.search_filters(found))
-    return scored.groupBy("query_id", "pass", "kind").agg(
-        F.count(F.lit(1)).alias("postings"),
-        F.sum("score_milli").cast("long").alias("score_milli"),
+    """Scores before phrases, per query, pass, kind and file over all postings that pass."""
+    scored = search.found_postings(t.index(), _terms(t))
+    return scored.groupBy("query_id", "pass", "kind", "repo", "path").agg(
+        F.count(F.lit(1)).alias("postings"), F.sum("score_milli").alias("score_milli")
     )
 
 
@@ -764,7 +755,7 @@ def sch5_score_postings(t: Tables) -> DataFrame:
 def sch6_rank_search(t: Tables) -> DataFrame:
     return _results(t).select(
         "query_id", "rank", "repo", "path", "line_no", "kind",
-        F.col("score_milli").cast("long").alias("score_milli"),
+        F.col("score_milli").cast("long").alias("score_milli"), F.md5("context").alias("context_md5"),
     )
 
 
