@@ -122,6 +122,84 @@ def nested(depth: int = 200) -> str:
 BRACKETED = nested()
 
 
+BRACKET_TOKEN = r"[^()\[\]{}]+|[()\[\]{}]"
+# Stands for a bracket that is deeper than patterns look; no part of a word, a line or a pair.
+DEEP = chr(0xE00A)
+DEEPEST = 100
+_CHUNK = 256
+
+
+def bracket_depths(tokens: Column) -> Column:
+    """How many brackets are open before each token of ``BRACKET_TOKEN``; negative after strays.
+
+    A running sum in one pass: within chunks from the start of each chunk, and over the sums of the
+    chunks, so no array grows with the text while it is built up.
+    """
+
+    def within(chunk: Column, start: Column) -> Column:
+        sums = F.aggregate(
+            chunk,
+            F.struct(start.alias("sum"), F.array().cast("array<int>").alias("before")),
+            lambda a, x: F.struct(
+                (a["sum"] + x).alias("sum"), F.array_append(a["before"], a["sum"]).alias("before")
+            ),
+        )
+        return sums["before"]
+
+    def total(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+    steps = F.transform(
+        tokens,
+        lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0),
+    )
+
+    def chunked(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest((F.size(all_) - 1) / _CHUNK, F.lit(0)).cast("int"))
+        return F.transform(
+            numbers, lambda k: F.slice(all_, k * _CHUNK + 1, F.lit(_CHUNK))
+        )
+
+    def summed(chunks: Column) -> Column:
+        return let(
+            F.transform(chunks, total),
+            lambda sums: F.flatten(
+                F.transform(
+                    chunks, lambda c, i: within(c, total(F.slice(sums, F.lit(1), i)))
+                )
+            ),
+        )
+
+    return let(steps, lambda all_: let(chunked(all_), summed))
+
+
+def join_bracketed(text: Column, line: str) -> Column:
+    """Text with ``line`` (a pattern) replaced by a space inside brackets of any depth.
+
+    Brackets below ``DEEPEST`` others become ``DEEP``, so that patterns for pairs see all pairs.
+    NULL if brackets do not pair up.
+    """
+
+    def rewrite(tokens: Column, depths: Column) -> Column:
+        last = F.element_at(tokens, -1)
+        end = F.element_at(depths, -1) - F.when(last.isin(")", "]", "}"), 1).otherwise(0)
+        paired = (F.array_min(depths) >= 0) & (end == 0)
+        joined = F.zip_with(
+            tokens,
+            depths,
+            lambda t, d: F.when(t.isin("(", "[", "{"), F.when(d >= DEEPEST, DEEP).otherwise(t))
+            .when(t.isin(")", "]", "}"), F.when(d > DEEPEST, DEEP).otherwise(t))
+            .when(d > 0, F.regexp_replace(t, line, " "))
+            .otherwise(t),
+        )
+        return F.when(paired, F.array_join(joined, ""))
+
+    return let(
+        F.regexp_extract_all(text, F.lit(BRACKET_TOKEN), F.lit(0)),
+        lambda tokens: let(bracket_depths(tokens), lambda depths: rewrite(tokens, depths)),
+    )
+
+
 def glob_to_regex(glob: Column) -> Column:
     """Anchored regular expression of a shell glob; ``*`` also crosses ``/``."""
     literal = F.regexp_replace(glob, r"([\\.+^$(){}|])", r"\\$1")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from codecorpus.functions.text import (
     BRACKETED,
+    DEEPEST,
     STAMP,
     WORD,
     WORD_END,
     WORD_START,
     drop_stamps,
+    join_bracketed,
     let,
     stamp,
     unstamp,
@@ -72,19 +74,28 @@ def logical_lines(content: Column) -> Column:
         ),
     )
     continued = F.regexp_replace(numbered, rf"\\\n[{STAMP}]++", " ")
-    pieces = F.regexp_extract_all(
-        continued, F.lit(rf"(?s){BRACKETED}|[^(\[{{]++|."), F.lit(0)
-    )
-    joined = F.array_join(
+    joined = let(continued, _joined_lines)
+    return F.regexp_replace(joined, rf"{LINE}{INDENT}*+(?=\n|\z)", "")
+
+
+def _joined_lines(numbered: Column) -> Column:
+    """Lines inside brackets joined.
+
+    The pattern of pairs sees ``DEEPEST`` levels, which no text with fewer brackets can exceed; other
+    texts are joined by a running balance.  Where brackets do not pair up, as in a file with a syntax error,
+    the pattern takes those pairs that it finds.
+    """
+    line = rf"\n[{STAMP}]++"
+    pieces = F.regexp_extract_all(numbered, F.lit(rf"(?s){BRACKETED}|[^(\[{{]++|."), F.lit(0))
+    by_pattern = F.array_join(
         F.transform(
             pieces,
-            lambda p: F.when(
-                p.rlike(r"^[(\[{]"), F.regexp_replace(p, rf"\n[{STAMP}]++", " ")
-            ).otherwise(p),
+            lambda p: F.when(p.rlike(r"^[(\[{]"), F.regexp_replace(p, line, " ")).otherwise(p),
         ),
         "",
     )
-    return F.regexp_replace(joined, rf"{LINE}{INDENT}*+(?=\n|\z)", "")
+    many = F.regexp_count(numbered, F.lit(r"[(\[{]")) > DEEPEST
+    return F.coalesce(F.when(many, join_bracketed(numbered, line)), by_pattern)
 
 
 def _statements(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims
+from codecorpus.functions.rows import computed
 from codecorpus.operators import search
 from codecorpus.plans.analysis import CorpusAnalysis
 from codecorpus.session import shared_folder
@@ -55,6 +56,9 @@ PYTHON = _join(
     _when("k % 2 = 0", """'    \"\"\"text with if and for or while\"\"\"'"""),
     "repeat(concat('    if a > 1 and b < 2:', chr(10), '        a = b', chr(10)), z % 4 * (k % 5 + 1))",
     _when("z % 5 = 0", "'    xs = [x for x in b'", "chr(10)", "'        if x]'"),
+    # Brackets up to 300 deep, over lines that begin in the first column.
+    _when("z % 5 = 2", "'    ys = '", "repeat('(', z * 6)", "chr(10)", "'1 for q in a or b'",
+          "chr(10)", "repeat(')', z * 6)"),
     _line("'    return a'"),
     "chr(10)",
     _when("k % 3 = 1", "'class C'", "k", "'(Base, mod.Other, metaclass=M):'"),
@@ -288,7 +292,9 @@ class Tables:
 
     @cache
     def code(self) -> DataFrame:
-        return self.code_base().selectExpr(*[f"{e} as {n}" for n, e in CODE.items()])
+        # Bound, so that the long expressions are not copied into every use of a column.
+        made = computed(self.code_base(), **{n: F.expr(e) for n, e in CODE.items()})
+        return made.select(*CODE)
 
     @cache
     def root(self) -> DataFrame:

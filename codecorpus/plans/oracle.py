@@ -174,7 +174,15 @@ _TEST_SEARCH = (
 check("prj9_is_test_name_search", f"select repo, path, {_TEST_SEARCH} as is_test from corpus")
 
 # --- structure: Python --------------------------------------------------------------------
-CTES["py_lines"] = "select * from lines where language = 'Python'"
+# depth: brackets that are open where a line begins, outside of strings and comments.
+_BARE = "regexp_replace(regexp_replace(text, '\"[^\"]*\"', '', 'g'), '#.*$', '')"
+CTES["py_lines"] = (
+    "select *, coalesce(sum(len(regexp_replace(bare, '[^(\\[{]', '', 'g')) - "
+    "len(regexp_replace(bare, '[^)\\]}]', '', 'g'))) over (partition by repo, path order by line_no "
+    f"rows between unbounded preceding and 1 preceding), 0) as depth from (select *, {_BARE} as bare "
+    "from lines where language = 'Python')"
+)
+_TOP = "depth = 0 and not starts_with(text, ' ') and text <> ''"
 # A parenthesised import that goes on for one more line is put together.
 CTES["py_import_lines"] = (
     "select repo, path, line_no, case when text like '%(%' and text not like '%)%' "
@@ -195,9 +203,9 @@ CTES["py_imports"] = (
 check("ext1_py_imports", "select * from py_imports")
 # Every line with the last line that starts a top-level statement, and with its owner class.
 CTES["py_scope"] = (
-    "select *, last_value(case when not starts_with(text, ' ') and text <> '' then line_no end "
+    f"select *, last_value(case when {_TOP} then line_no end "
     "ignore nulls) over w as top_line, last_value(case when regexp_matches(text, '^class ') then "
-    "regexp_extract(text, '^class (\\w+)', 1) when not starts_with(text, ' ') and text <> '' "
+    f"regexp_extract(text, '^class (\\w+)', 1) when {_TOP} "
     "then '' end ignore nulls) over w as class_name, lag(text, 1) over w as before1, "
     "lag(text, 2) over w as before2 from py_lines window w as (partition by repo, path "
     "order by line_no)"
@@ -241,7 +249,7 @@ CTES["py_branches"] = (
     "select repo, path, line_no, top_line, text, "
     f"len(regexp_extract_all({_NO_STRINGS}, '\\b(for|and|or)\\b')) + "
     f"case when regexp_matches({_NO_STRINGS}, '^\\s*(if|elif|while|except|assert)\\b') "
-    "and not starts_with(trim(text), 'if x]') then 1 else 0 end "
+    "and depth = 0 then 1 else 0 end "
     "- case when starts_with(trim(text), '#') then "
     f"len(regexp_extract_all({_NO_STRINGS}, '\\b(for|and|or)\\b')) else 0 end as n from py_scope"
 )
@@ -249,8 +257,8 @@ CTES["py_functions"] = (
     "select d.repo, d.path, d.line_no, d.owner_class, d.name, 1 + (select coalesce(sum(b.n), 0) "
     "from py_branches b where b.repo = d.repo and b.path = d.path and b.line_no >= d.line_no "
     "and b.line_no < coalesce((select min(e.line_no) from (select repo, path, line_no from "
-    "py_defs union all select repo, path, line_no from py_scope where not starts_with(text, ' ') "
-    "and text <> '') e where e.repo = d.repo and e.path = d.path and e.line_no > d.line_no), "
+    f"py_defs union all select repo, path, line_no from py_scope where {_TOP}"
+    ") e where e.repo = d.repo and e.path = d.path and e.line_no > d.line_no), "
     "1000000)) as complexity from py_defs d"
 )
 check(

@@ -119,3 +119,43 @@ def test_json_export_is_whole_and_valid(spark, raw):
     assert r["hotspots"][0]["path"] == "pkg/a.py"
     assert s["entryPoints"] == ["main.go"]
     assert s["project"]["primaryLanguage"] == "Go"
+
+
+def test_brackets_of_any_depth(raw):
+    """Depth changes nothing, in a body, in the head of a function, in bases and decorators."""
+
+    def source(depth):
+        left, right = "(" * depth, ")" * depth
+        return (
+            f"def f(a, b={left}1,\n2{right}, c=3):\n    x = {left}\n1 for y in a if y or 2\n{right}\n"
+            f"    if x and a:\n        return 1\n\n@deco({left}\n{right})\nclass C(Base{left}\n1{right}, D):\n"
+            f"    def m(self, q={left}{right}):\n        while q or 1:\n            pass\n"
+        )
+
+    depths = [1, 2, 99, 100, 101, 102, 200, 201, 256, 257, 5000]
+    modules = extract.extract_modules(
+        corpus.build_files(raw(*[("r", f"d{d}.py", source(d)) for d in depths]))
+    )
+    found = {}
+    for r in extract.functions(modules).collect():
+        found.setdefault(r.path, set()).add((r.name, r.complexity, tuple(r.parameters)))
+    assert found == {
+        f"d{d}.py": {("f", 5, ("a", "b", "c")), ("m", 3, ("q",))} for d in depths
+    }
+    classes = {(r.path, tuple(r.bases), tuple(r.decorators)) for r in extract.classes(modules).collect()}
+    assert classes == {(f"d{d}.py", ("unknown", "D"), ("deco",)) for d in depths}
+
+
+def test_brackets_that_do_not_pair_up(raw):
+    """A stray bracket does not hide what follows it, whatever the number of brackets."""
+    texts = {
+        n: ("x = (\n" if n % 2 else ")\n") + "def f(a):\n    if a: pass\n" * n for n in (3, 4, 300, 301)
+    }
+    modules = extract.extract_modules(
+        corpus.build_files(raw(*[("r", f"{n}.py", text) for n, text in texts.items()]))
+    )
+    counts = {}
+    for r in extract.functions(modules).collect():
+        assert (r.name, r.complexity) == ("f", 2)
+        counts[r.path] = counts.get(r.path, 0) + 1
+    assert counts == {f"{n}.py": n for n in texts}
