@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims, paths
 from codecorpus.functions.rows import computed, unnest
 from codecorpus.functions.text import is_comment, rstrip
 from codecorpus.operators.lines import explode_lines, grouped_counts
+from codecorpus.session import stored
 
 RULES = dims.SECURITY_RULES
 
@@ -78,6 +79,73 @@ def match_rules(
     )
 
 
+RULE_TABLE = (
+    "rule_id string, pattern string, severity string, category string, title string, "
+    "description string, skip_tests boolean, skip_comments boolean, hints array<string>"
+)
+#: Bytes of rules that one join broadcasts; a larger table goes in several joins.
+RULE_BLOCK_BYTES = 8 * 1024 * 1024
+
+
+def rule_table(
+    spark: SparkSession, rules: list[tuple] = RULES, hints: list[list[str]] | None = None
+) -> DataFrame:
+    """A list of rules as a table for ``match_rule_table``; rule_id is the place in the list."""
+    if hints is None:
+        hints = dims.SECURITY_RULE_HINTS if rules is RULES else [[""]] * len(rules)
+    rows = [(str(i), *rule, hints[i]) for i, rule in enumerate(rules)]
+    return spark.createDataFrame(rows, RULE_TABLE)
+
+
+def match_rule_table(
+    files: DataFrame, rules: DataFrame, block_bytes: int = RULE_BLOCK_BYTES
+) -> DataFrame:
+    """Findings of rules that are data: every line against every row of ``rules``.
+
+    ``rules`` has the columns of ``RULE_TABLE``; ``hints`` are texts in lower case of which a match
+    contains at least one, null or empty if none are known.  A rule without pattern or id finds
+    nothing, null flags are false, and rows that repeat a rule find each line as often.  The result
+    has the columns of ``match_rules``.
+
+    Matching is no equality, so rules are broadcast to the lines.  They are stored and measured
+    first and broadcast in blocks of about ``block_bytes``, one join per block, so a table of any
+    size fits.  Hints come before the pattern in the condition: few pairs reach it.
+    """
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("skip_tests", "skip_comments")]
+    known = F.when(F.size("hints") > 0, F.col("hints")).otherwise(F.array(F.lit("")))
+    rules = stored(
+        rules.where(F.col("pattern").isNotNull() & F.col("rule_id").isNotNull()).select(
+            "rule_id", "pattern", "severity", "category", "title", "description", *flags,
+            known.alias("hints"),
+        )
+    )
+    lengths = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("pattern", "title", "description")]
+    size = sum(lengths, F.lit(200))
+    blocks = max(1, -(-int(rules.agg(F.sum(size)).first()[0] or 0) // block_bytes))
+    text, folded = F.col("text"), F.col("folded")
+    lines = computed(
+        explode_lines(files),
+        folded=_folded(text),
+        is_test=paths.is_test_for_security(F.col("path")),
+        is_comment=is_comment(text),
+    )
+    matches = (
+        ~(F.col("skip_tests") & F.col("is_test"))
+        & ~(F.col("skip_comments") & F.col("is_comment"))
+        & F.exists("hints", lambda h: folded.contains(h))
+        & F.rlike(text, F.col("pattern"))
+    )
+    found = None
+    for block in range(blocks):
+        mine = rules.where(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == block)
+        part = lines.join(F.broadcast(mine), matches).select(
+            "repo", "path", "line_no", "rule_id", "severity", "category", "title", "description",
+            rstrip(text).alias("line_text"),
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def findings_min_severity(findings: DataFrame, least: str) -> DataFrame:
     """Findings at least as severe as ``least``."""
     return findings.where(F.col("severity").isin(*dims.SEVERITIES[: dims.SEVERITIES.index(least) + 1]))

@@ -271,6 +271,20 @@ SEARCH = {
     ),
 }
 DERIVED["searches"] = f"select {_columns(SEARCH)} from benchmark"
+# Rules as data: comments that end in a name which starts with some word.
+NAME_RULES = {
+    "rule_id": "concat('name ', w)",
+    "pattern": "concat('^(#|//) (.*: |todo )?', w, ' [a-z ]*$')",
+    "severity": "case when length(w) % 2 = 0 then 'low' else 'medium' end",
+    "category": "'names'",
+    "title": "concat('Name with ', w)",
+    "description": "'A name of a part in a comment'",
+    "skip_tests": "true",
+    "skip_comments": "false",
+}
+DERIVED["name_rules"] = (
+    f"select {_columns(NAME_RULES)} from (select distinct split_part(p_name, ' ', 1) as w from part)"
+)
 TABLES = ["part", "orders", "lineitem", "documents", "pages", "benchmark"]
 
 
@@ -389,6 +403,12 @@ class Tables:
         """The stored search index of the corpus."""
         return search.write_index(self.whole_stored().files, self._store(), buckets=32)
 
+    @cache
+    def name_rules(self) -> DataFrame:
+        """Rules derived from the names of parts."""
+        words = self.shared("part").selectExpr("split_part(p_name, ' ', 1) as w").distinct()
+        return words.selectExpr(*[f"{e} as {n}" for n, e in NAME_RULES.items()], "array(w) as hints")
+
     @cache
     def searches(self) -> DataFrame:
         """Three words of each benchmark text as a query; some get a phrase or filters."""

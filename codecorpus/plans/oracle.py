@@ -778,6 +778,14 @@ check(
     "select repo, path, line_no, rule_id, severity, category, title, description, "
     "md5(line_text) as line_md5 from findings",
 )
+check(
+    "jn3_match_rule_table",
+    "select repo, path, line_no, cast(rule_id as varchar) as rule_id, severity, category, title, "
+    "description, md5(line_text) as line_md5 from findings union all "
+    "select l.repo, l.path, l.line_no, r.rule_id, r.severity, r.category, r.title, r.description, "
+    "md5(rtrim(l.text)) from lines l join name_rules r on regexp_matches(l.text, r.pattern) "
+    f"where not {_TEST_SECURITY}",
+)
 check(
     "flt2_findings_min_severity",
     "select repo, path, line_no, rule_id from findings where severity <> 'low'",

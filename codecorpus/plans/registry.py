@@ -390,6 +390,16 @@ def jn3_match_rules(t: Tables) -> DataFrame:
     )
 
 
+@query
+def jn3_match_rule_table(t: Tables) -> DataFrame:
+    """The built-in rules as a table, and one rule per first word of the names of parts."""
+    table = rules.rule_table(t.spark).unionByName(t.name_rules())
+    return rules.match_rule_table(t.whole().files, table).select(
+        "repo", "path", "line_no", "rule_id", "severity", "category", "title", "description",
+        F.md5("line_text").alias("line_md5"),
+    )
+
+
 @query
 def jn4_expand_synonyms(t: Tables) -> DataFrame:
     return search.expand_synonyms(
