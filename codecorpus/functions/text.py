@@ -200,15 +200,15 @@ def join_bracketed(text: Column, line: str) -> Column:
     )
 
 
-def glob_to_regex(glob: Column) -> Column:
-    """Anchored regular expression of a shell glob; ``*`` also crosses ``/``."""
+def glob_body(glob: Column, crosses: bool) -> Column:
+    """Regular expression of a shell glob, not anchored; wildcards cross ``/`` only if asked to."""
     literal = F.regexp_replace(glob, r"([\\.+^$(){}|])", r"\\$1")
     negated = F.regexp_replace(literal, r"\[!", "[^")
     # A bracket that never closes is a plain character.
     closed = F.regexp_replace(negated, r"\[(?![^\]]+\])", r"\\[")
-    return F.concat(
-        F.lit("(?s)^"),
-        F.regexp_replace(F.regexp_replace(closed, r"\*+", ".*"), r"\?", "."),
-        F.lit("$"),
-    )
-
+    if not crosses:
+        closed = F.regexp_replace(closed, r"(?<!\\)\[", "(?!/)[")
+    some = "." if crosses else "[^/]"
+    # A question mark after a bracket belongs to the look-ahead above.
+    one = F.regexp_replace(closed, r"(?<!\()\?", some)
+    return F.regexp_replace(one, r"\*+", f"{some}*")

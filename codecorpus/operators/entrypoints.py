@@ -42,16 +42,17 @@ def entry_point_types(points: DataFrame) -> DataFrame:
 
 
 def annotate_file_tree(
-    files: DataFrame, points: DataFrame, hotspots: DataFrame, k: int = 100
+    files: DataFrame, points: DataFrame, scores: DataFrame, k: int | None = None
 ) -> DataFrame:
-    """First files of every repository with their entry and danger flags.
+    """Files of every repository in path order with their entry and danger flags.
 
-    The files are cut to ``k`` per repository first; only those meet the flags.
+    With ``k`` only the first ``k`` per repository; they are cut before they meet the flags, which
+    come from all ``hotspot_scores``.
     """
     first = top_k(files.select("repo", "path", "code_lines"), k, F.col("path"))
     entries = points.select("repo", "path").distinct().withColumn("is_entry", F.lit(True))
     danger = (
-        hotspots.where("is_danger_zone")
+        scores.where("is_danger_zone")
         .select("repo", "path")
         .distinct()
         .withColumn("is_danger", F.lit(True))

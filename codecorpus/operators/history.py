@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims
+from codecorpus.session import stored
 from codecorpus.sources.corpus import per_repo_facts
 from codecorpus.sources.history import newest_commits
 
 
 def file_history(commit_files: DataFrame) -> DataFrame:
-    """Commits, authors, last change and churn (share of the most changed file) per path."""
+    """Commits, authors, last change and churn (share of the most changed file) per path.
+
+    The aggregate per path is stored, so the log is read once for it and for the largest value.
+    """
     per_file = commit_files.groupBy("repo", "path").agg(
         F.count_distinct("sha").alias("commit_count"),
         F.array_sort(F.collect_set("author")).alias("contributors"),
         F.max("ts").alias("last_modified"),
     )
+    per_file = stored(per_file)
     most = per_file.groupBy("repo").agg(F.max("commit_count").alias("max_commits"))
     return per_repo_facts(per_file, most, "inner").withColumn(
         "churn_score", F.col("commit_count") / F.col("max_commits") * 100

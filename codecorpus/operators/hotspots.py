@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.functions import paths
 from codecorpus.operators.rank import top_k
+from codecorpus.session import stored
 from codecorpus.sources.corpus import per_repo_facts
 
 
@@ -63,28 +64,37 @@ def hotspot_features(files: DataFrame, history: DataFrame, complexity: DataFrame
     )
 
 
-def _largest(rows: DataFrame, column: str, alias: str) -> DataFrame:
-    return rows.groupBy("repo").agg(F.max(column).alias(alias))
-
-
 def hotspot_scores(files: DataFrame, history: DataFrame, complexity: DataFrame) -> DataFrame:
     """Score of every file: 0.4 churn + 0.35 complexity + 0.25 size, each as a share of the
     largest value in the repository.
 
-    The largest values are aggregated per repository and joined back, which keeps one huge
-    repository spread over many tasks; a window over ``repo`` would not.
+    The inputs are joined once and stored.  The largest values are aggregated per repository from
+    that, also over files that only the log knows, and joined back, which keeps one huge repository
+    spread over many tasks; a window over ``repo`` would not.
     """
-    largest = (
-        _largest(files, "code_lines", "max_lines")
-        .join(_largest(history, "commit_count", "max_commits"), "repo", "left")
-        .join(_largest(complexity, "complexity", "max_complexity"), "repo", "left")
+    keys = ["repo", "path"]
+    known = files.select(*keys, "code_lines", F.lit(True).alias("_known"))
+    every = stored(
+        known.join(history.select(*keys, "commit_count"), keys, "full")
+        .join(complexity.select(*keys, "complexity"), keys, "left")
+    )
+    largest = every.groupBy("repo").agg(
+        F.max("code_lines").alias("max_lines"),
+        F.max("commit_count").alias("max_commits"),
+        F.max("complexity").alias("max_complexity"),
+    )
+    features = every.where("_known").select(
+        *keys,
+        F.coalesce("commit_count", F.lit(0)).alias("commit_count"),
+        F.coalesce("complexity", F.lit(1)).alias("complexity"),
+        "code_lines",
     )
 
     def share(value: str, most: str):
         denominator = F.greatest(F.coalesce(most, F.lit(1)), F.lit(1))
         return F.col(value) / denominator * 100
 
-    scored = per_repo_facts(hotspot_features(files, history, complexity), largest).select(
+    scored = per_repo_facts(features, largest).select(
         "repo",
         "path",
         share("commit_count", "max_commits").alias("change_frequency"),
@@ -100,12 +110,10 @@ def hotspot_scores(files: DataFrame, history: DataFrame, complexity: DataFrame)
     )
 
 
-def hotspots(
-    files: DataFrame, history: DataFrame, complexity: DataFrame, k: int = 20
-) -> DataFrame:
-    """The ``k`` highest scores per repository, by rounded score, then path order."""
+def hotspots(scores: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` highest of ``hotspot_scores`` per repository, by rounded score, then path order."""
     return top_k(
-        hotspot_scores(files, history, complexity),
+        scores,
         k,
         F.col("score").desc(),
         paths.path_order(F.col("path")),

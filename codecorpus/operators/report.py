@@ -35,6 +35,7 @@ class Analysis:
     dependencies: DataFrame
     cycles: DataFrame
     hotspots: DataFrame
+    scores: DataFrame
     entry_points: DataFrame
     explanations: DataFrame
     history: DataFrame
@@ -294,7 +295,7 @@ def export_report_payload(a: Analysis) -> DataFrame:
             "left",
         )
         .join(
-            a.hotspots.where("is_danger_zone")
+            a.scores.where("is_danger_zone")
             .select("repo", "path")
             .withColumn("danger", F.lit(True)),
             ["repo", "path"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.functions import paths
@@ -27,18 +27,17 @@ def project_stats(files: DataFrame, repos: DataFrame | None = None) -> DataFrame
 def language_breakdown(files: DataFrame) -> DataFrame:
     """Code lines, files, first path and share of code lines per language.
 
-    The share is computed on the aggregate, so the second grouping sees a few rows per repository.
+    The share is a window over the aggregate, which has a few rows per repository, so the files are
+    read once.
     """
     per_language = files.groupBy("repo", "language").agg(
         F.sum("code_lines").alias("code_lines"),
         F.count(F.lit(1)).alias("files"),
         F.min(paths.path_order(F.col("path"))).alias("first_path"),
     )
-    totals = per_language.groupBy("repo").agg(
-        F.greatest(F.sum("code_lines"), F.lit(1)).alias("repo_code_lines")
-    )
-    share = F.col("code_lines") / F.col("repo_code_lines") * 100
-    return per_language.join(totals, "repo").withColumn("share", share)
+    total = F.sum("code_lines").over(Window.partitionBy("repo"))
+    with_total = per_language.withColumn("repo_code_lines", F.greatest(total, F.lit(1)))
+    return with_total.withColumn("share", F.col("code_lines") / F.col("repo_code_lines") * 100)
 
 
 def size_breakdown(files: DataFrame) -> DataFrame:
@@ -67,13 +66,11 @@ def size_breakdown(files: DataFrame) -> DataFrame:
                           "code_lines")
     # The totals are part of the same small aggregate: one window over it gives the shares.
     total = F.max(F.when(F.col("dim") == "total", F.col("size_bytes")))
-    totals = rows.groupBy("repo").agg(total.alias("repo_bytes"))
+    rows = rows.withColumn("repo_bytes", total.over(Window.partitionBy("repo")))
     percentage = F.when(
         F.col("repo_bytes") > 0, F.col("size_bytes") / F.col("repo_bytes") * 100
     ).otherwise(0.0)
-    return rows.join(totals, "repo").where(F.col("dim") != "total").withColumn(
-        "percentage", percentage
-    )
+    return rows.where(F.col("dim") != "total").withColumn("percentage", percentage)
 
 
 def directory_roles(files: DataFrame, entry_points: DataFrame | None = None) -> DataFrame:

@@ -45,6 +45,8 @@ class CorpusAnalysis:
         extra_ignores: list[str] | None = None,
         history_days: int | None = None,
         history_commits: int | None = None,
+        max_bytes: int | None = dims.MAX_TEXT_BYTES,
+        cycles_per_repo: int | None = graph.CYCLES_PER_REPO,
         files: DataFrame | None = None,
         modules: DataFrame | None = None,
     ):
@@ -53,6 +55,7 @@ class CorpusAnalysis:
         self.as_of = as_of
         self._depth, self._ignores = max_depth, extra_ignores
         self._days, self._commits = history_days, history_commits
+        self._bytes, self._cycles = max_bytes, cycles_per_repo
         self._files, self._modules = files, modules
 
     def store(self, path: str) -> CorpusAnalysis:
@@ -67,6 +70,7 @@ class CorpusAnalysis:
             self.as_of,
             history_days=self._days,
             history_commits=self._commits,
+            cycles_per_repo=self._cycles,
             files=files,
             modules=spark.read.parquet(f"{path}/modules"),
         )
@@ -76,7 +80,10 @@ class CorpusAnalysis:
         if self._files is not None:
             return self._files
         return corpus.build_files(
-            self.raw_files, max_depth=self._depth, extra_ignores=self._ignores
+            self.raw_files,
+            max_depth=self._depth,
+            extra_ignores=self._ignores,
+            max_bytes=self._bytes,
         )
 
     def modules(self, *parts: str) -> DataFrame:
@@ -119,7 +126,7 @@ class CorpusAnalysis:
 
     @cached_property
     def cycles(self) -> DataFrame:
-        return graph.circular_deps(self.edges)
+        return graph.circular_deps(self.edges, k=self._cycles)
 
     @cached_property
     def history(self) -> DataFrame:
@@ -136,9 +143,13 @@ class CorpusAnalysis:
     def complexity(self) -> DataFrame:
         return hotspots.file_complexity(self.modules("functions"))
 
+    @cached_property
+    def hotspot_scores(self) -> DataFrame:
+        return hotspots.hotspot_scores(self.files, self.history, self.complexity)
+
     @cached_property
     def hotspots(self) -> DataFrame:
-        return hotspots.hotspots(self.files, self.history, self.complexity)
+        return hotspots.hotspots(self.hotspot_scores)
 
     @cached_property
     def entry_points(self) -> DataFrame:
@@ -201,6 +212,7 @@ class CorpusAnalysis:
             dependencies=self.dependencies,
             cycles=self.cycles,
             hotspots=self.hotspots,
+            scores=self.hotspot_scores,
             entry_points=self.entry_points,
             explanations=self.explanations,
             history=self.history,

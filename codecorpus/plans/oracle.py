@@ -594,10 +594,12 @@ CTES["shares"] = (
     "from features f left join churn_max m on m.repo = f.repo left join (select repo, "
     "max(complexity) as top from complexity group by repo) x on x.repo = f.repo"
 )
+CTES["scores"] = (
+    "select *, churn * 0.4::double + complex * 0.35::double + size * 0.25::double as raw from shares"
+)
 CTES["hotspots"] = (
     "select * from (select *, row_number() over (partition by repo order by round(raw, 1) desc, "
-    "string_split(path, '/')) as rank from (select *, churn * 0.4::double + complex * "
-    "0.35::double + size * 0.25::double as raw from shares)) where rank <= 20"
+    "string_split(path, '/')) as rank from scores) where rank <= 20"
 )
 check(
     "win2_hotspots",
@@ -703,10 +705,10 @@ check(
 check(
     "jn7_annotate_file_tree",
     "select f.repo, f.path, f.code_lines, f.rank, exists (select 1 from entries e where "
-    "e.repo = f.repo and e.path = f.path) as is_entry, exists (select 1 from hotspots h where "
+    "e.repo = f.repo and e.path = f.path) as is_entry, exists (select 1 from scores h where "
     "h.repo = f.repo and h.path = f.path and h.raw > 70 and h.churn > 50 and h.complex > 50) "
     "as is_danger from (select *, row_number() over (partition by repo order by path) as rank "
-    "from files) f where f.rank <= 100",
+    "from files) f",
 )
 
 # --- markers and findings -----------------------------------------------------------------

@@ -437,7 +437,7 @@ def jn6_recent_file_boost(t: Tables) -> DataFrame:
 @query
 def jn7_annotate_file_tree(t: Tables) -> DataFrame:
     a = t.whole_stored()
-    return entrypoints.annotate_file_tree(a.files, a.entry_points, a.hotspots)
+    return entrypoints.annotate_file_tree(a.files, a.entry_points, a.hotspot_scores)
 
 
 @query

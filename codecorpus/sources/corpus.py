@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims, paths
-from codecorpus.functions.rows import unnest
-from codecorpus.functions.text import glob_to_regex, is_blank, is_comment, let, split_lines, strip
+from codecorpus.functions.rows import computed, unnest
+from codecorpus.functions.text import glob_body, is_blank, is_comment, let, split_lines, strip
 from codecorpus.session import broadcast_if_small, stored
 
 
@@ -73,38 +73,60 @@ def ignore_patterns(raw_files: DataFrame, extra: list[str] | None = None) -> Dat
     return own.select("repo", F.regexp_replace("glob", "/+$", "").alias("glob")).distinct()
 
 
-def filter_gitignore(raw_files: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Drop files that a glob of their repository hides, also through a parent directory.
+def ignore_matchers(globs: DataFrame) -> DataFrame:
+    """(repo, matcher): one regular expression per repository that finds ignored paths.
 
-    The globs of a repository (one file of text) are folded into one alternation per level, which
-    is joined on ``repo``: one regular expression per row instead of one row per pair of path and
-    glob.  Reading the globs is a small job of its own, which runs when this is called.  Every ancestor prefix of the path is tested, so an ignored directory hides its subtree.
+    A glob hides a path when it matches one component of it, or the path up to the end of any
+    component; so an ignored directory hides its subtree.
     """
-    globs = ignore_patterns(raw_files, extra)
-    one = F.concat(F.lit("(?:"), glob_to_regex(F.col("glob")), F.lit(")"))
-    below = F.concat(
-        F.lit("(?:"), glob_to_regex(F.concat("glob", F.lit("/*"))), F.lit(")")
-    )
-    per_repo = globs.groupBy("repo").agg(
-        F.array_join(F.collect_list(one), "|").alias("by_name"),
-        F.array_join(F.collect_list(F.concat(one, F.lit("|"), below)), "|").alias("by_path"),
-    )
-    parts = F.split("path", "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+    one = F.struct(
+        glob_body(F.col("glob"), crosses=False).alias("name"),
+        glob_body(F.col("glob"), crosses=True).alias("prefix"),
     )
-    ignored = F.exists(parts, lambda p: F.regexp_like(p, F.col("by_name"))) | F.exists(
-        prefixes, lambda p: F.regexp_like(p, F.col("by_path"))
+    bodies = globs.groupBy("repo").agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def either(field: str) -> Column:
+        return F.array_join(F.transform("all", lambda b: b[field]), "|")
+
+    end = F.lit(r")(?:/|\z)")
+    matcher = F.concat(
+        F.lit("(?s)(?:^|/)(?:"), either("name"), end, F.lit("|^(?:"), either("prefix"), end
     )
-    # Contents must not move for this: the globs are stored, measured and broadcast when small.
-    globs = stored(per_repo)
-    size = globs.agg(F.sum(F.length("by_name") + F.length("by_path"))).first()[0] or 0
+    return bodies.select("repo", matcher.alias("matcher"))
+
+
+def hidden_keys(raw_files: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """(repo, path) of files that an ignore glob of their repository hides; contents are not read.
+
+    The matchers of all repositories are stored and measured: small ones are broadcast, others
+    are joined on a salted key, which moves paths only.
+    """
+    matchers = stored(ignore_matchers(ignore_patterns(raw_files, extra)))
+    keys = raw_files.select("repo", "path")
+    size = matchers.agg(F.sum(F.octet_length("matcher"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        joined = raw_files.join(F.broadcast(globs), "repo", "left")
+        joined = keys.join(F.broadcast(matchers), "repo")
     else:
-        joined = per_repo_facts(raw_files, globs)
-    return joined.where(~F.coalesce(ignored, F.lit(False))).drop("by_name", "by_path")
+        joined = per_repo_facts(keys, matchers, "inner")
+    return joined.where(F.rlike(F.col("path"), F.col("matcher"))).select("repo", "path")
+
+
+def filter_gitignore(raw_files: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Drop files that a glob of their repository hides, also through a parent directory.
+
+    Which paths are hidden is decided on paths alone and stored.  They are then taken out by broadcast anti
+    joins, each with keys of at most about ``BROADCAST_BYTES``, so contents are in no exchange
+    however many patterns and hidden files there are.
+    """
+    hidden = stored(hidden_keys(raw_files, extra).distinct())
+    length = F.octet_length("repo") + F.octet_length("path") + 32
+    size = hidden.agg(F.sum(length)).first()[0] or 0
+    blocks = max(1, -(-size // BROADCAST_BYTES))
+    kept = raw_files
+    for block in range(blocks):
+        mine = hidden.where(F.pmod(F.xxhash64("repo", "path"), F.lit(blocks)) == block)
+        kept = kept.join(F.broadcast(mine), ["repo", "path"], "left_anti")
+    return kept
 
 
 SALTS = 16
@@ -134,10 +156,12 @@ def filter_binary(raw_files: DataFrame) -> DataFrame:
     return raw_files.where(~is_binary(F.col("content")))
 
 
-def decode_text(content: Column, size_bytes: Column) -> Column:
-    """UTF-8 text with replacement characters; NULL above the size limit."""
+def decode_text(
+    content: Column, size_bytes: Column, max_bytes: int | None = dims.MAX_TEXT_BYTES
+) -> Column:
+    """UTF-8 text with replacement characters; NULL above ``max_bytes``, if that is not None."""
     text = F.make_valid_utf8(content.cast("string"))
-    return F.when(size_bytes <= dims.MAX_TEXT_BYTES, text)
+    return text if max_bytes is None else F.when(size_bytes <= max_bytes, text)
 
 
 def count_lines(content: Column) -> Column:
@@ -188,14 +212,21 @@ def file_facts(texts: DataFrame) -> DataFrame:
 
 
 def build_files(
-    raw_files: DataFrame, *, max_depth: int = dims.MAX_DEPTH, extra_ignores: list[str] | None = None
+    raw_files: DataFrame,
+    *,
+    max_depth: int = dims.MAX_DEPTH,
+    extra_ignores: list[str] | None = None,
+    max_bytes: int | None = dims.MAX_TEXT_BYTES,
 ) -> DataFrame:
-    """raw files (binary content) → ``files``: path filters first, content last."""
+    """raw files (binary content) → ``files``: path filters first, content last.
+
+    Files of more than ``max_bytes`` are listed without content; None reads all of them.
+    """
     kept = filter_gitignore(
         filter_default_ignores(filter_depth(raw_files, max_depth)), extra_ignores
     )
     texts = filter_binary(kept).withColumn(
-        "content", decode_text(F.col("content"), F.col("size_bytes"))
+        "content", decode_text(F.col("content"), F.col("size_bytes"), max_bytes)
     )
     return file_facts(texts)
 
@@ -204,28 +235,155 @@ def content_hash(raw_files: DataFrame) -> DataFrame:
     return raw_files.withColumn("content_sha", F.sha2(F.col("content").cast("binary"), 256))
 
 
+#: Bits of the filter of known hashes: 8 MiB as an array of words.
+FILTER_BITS = 1 << 26
+FILTER_HASHES = 6
+PREFIX_CHARS = 2
+
+
+def _filter_places(sha: Column, bits: int) -> list[Column]:
+    return [
+        F.pmod(F.xxhash64(sha, F.lit(i)), F.lit(bits)) for i in range(FILTER_HASHES)
+    ]
+
+
+def known_filter(known: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """A Bloom filter of the hashes in ``known`` as one value: an array of 64-bit words.
+
+    Its size is fixed by ``bits``.  With more hashes more unknown ones look known, which costs a
+    second look at those files and never a result.
+    """
+    places = F.explode(F.array(*_filter_places(F.col("content_sha"), bits))).alias("place")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    words = (
+        known.select(places)
+        .groupBy(F.floor(F.col("place") / 64).cast("int").alias("word"))
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+    every = known.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"))
+    filled = every.join(words, "word", "left").fillna(0, ["bits"])
+    one = filled.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return one.select(F.transform("words", lambda w: w["bits"])).scalar()
+
+
+def _may_hold(words: str, sha: Column, bits: int) -> Column:
+    holds = F.lit(True)
+    for place in _filter_places(sha, bits):
+        word = F.get(words, F.floor(place / 64).cast("int"))
+        shifted = F.call_function("shiftrightunsigned", word, (place % 64).cast("int"))
+        holds = holds & (shifted.bitwiseAND(F.lit(1).cast("long")) == 1)
+    return holds
+
+
 def incremental_scan(
-    raw_files: DataFrame, known: DataFrame, analyse: Callable[[DataFrame], DataFrame]
+    raw_files: DataFrame,
+    known: DataFrame,
+    analyse: Callable[[DataFrame], DataFrame],
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Results per file, computed only for contents whose SHA-256 is not in ``known``.
 
     ``known`` holds one row per hash with the result columns of ``analyse``, which maps
     (content_sha, content) to (content_sha, results…).  Every new hash is analysed once, however
-    many copies there are; copies share the result.  Joins on hashes only see hashes and keys;
-    contents move only for new hashes, and not at all when these are few enough to broadcast.
+    many copies there are; copies share the result.  A null content has no hash and no result.
     """
-    hashed = content_hash(raw_files)
-    keys = hashed.select("repo", "path", "content_sha")
-    chosen = stored(
-        keys.join(known.select("content_sha"), "content_sha", "left_anti")
-        .groupBy("content_sha")
-        .agg(F.min(F.struct("repo", "path")).alias("file"))
-        .select("file.*", "content_sha")
+    keys, fresh = _scan(raw_files, known, analyse, filter_bits)
+    results = known.withColumn("reused", F.lit(True)).unionByName(
+        fresh.withColumn("reused", F.lit(False))
     )
-    fresh = raw_files.join(broadcast_if_small(chosen), ["repo", "path"]).select(
-        "content_sha", "content"
+    return _with_results(keys, results)
+
+
+def scan_with_state(
+    raw_files: DataFrame,
+    folder: str,
+    analyse: Callable[[DataFrame], DataFrame],
+    schema: str,
+    filter_bits: int = FILTER_BITS,
+) -> DataFrame:
+    """``incremental_scan`` that keeps its results in ``folder`` from run to run.
+
+    The results are one append-only table (content_sha, results…) by the first characters of the
+    hash; ``schema`` gives these columns.  A run appends the results of new hashes only, and reads
+    results only of prefixes that occur.
+    """
+    spark = raw_files.sparkSession
+    place = f"{schema}, prefix string"
+    # The first run has no table yet.
+    spark.createDataFrame([], place).write.mode("append").partitionBy("prefix").parquet(folder)
+    known = spark.read.schema(place).parquet(folder)
+    # What is known is fixed now: later appends add files that this run must not read as known.
+    written = known.inputFiles()
+    before = known.limit(0)
+    if written:
+        before = spark.read.schema(place).option("basePath", folder).parquet(*written)
+    columns = [c for c in known.columns if c != "prefix"]
+    keys, fresh = _scan(raw_files, before.select(*columns), analyse, filter_bits)
+    fresh = stored(fresh.select(*columns))
+    prefix = F.substring("content_sha", 1, PREFIX_CHARS)
+    by_prefix = fresh.withColumn("prefix", prefix).repartition("prefix")
+    by_prefix.write.mode("append").partitionBy("prefix").parquet(folder)
+    occurring = [r[0] for r in keys.select(prefix).distinct().collect()]
+    results = before.where(F.col("prefix").isin(occurring)).select(*columns).withColumn("reused", F.lit(True)).unionByName(
+        fresh.withColumn("reused", F.lit(False))
     )
-    results = known.withColumn("reused", F.lit(True)).unionByName(
-        analyse(fresh).withColumn("reused", F.lit(False))
+    return _with_results(keys, results)
+
+
+def _scan(
+    raw_files: DataFrame, known: DataFrame, analyse: Callable, filter_bits: int
+) -> tuple[DataFrame, DataFrame]:
+    """(repo, path, content_sha) of all files, and results of the hashes that are not known.
+
+    One pass reads and hashes each content and stores the keys, together with the contents whose
+    hash the filter does not hold: those are new for certain.  Among the rest an anti join on
+    hashes finds the few that only look known; their files are read again.
+    """
+    hashed = computed(
+        raw_files.select("repo", "path", "content"),
+        content_sha=F.sha2(F.col("content").cast("binary"), 256),
+    ).where(F.col("content_sha").isNotNull())
+    filtered = hashed.withColumn("_words", known_filter(known.select("content_sha"), filter_bits))
+    may = _may_hold("_words", F.col("content_sha"), filter_bits)
+    seen = stored(
+        filtered.select(
+            "repo", "path", "content_sha", may.alias("_may"), F.when(~may, F.col("content")).alias("content")
+        )
+    )
+    keys = seen.select("repo", "path", "content_sha")
+
+    def first_files(rows: DataFrame) -> DataFrame:
+        """One file of each hash; copies are counted out map-side."""
+        first = rows.groupBy("content_sha").agg(F.min(F.struct("repo", "path")).alias("file"))
+        return first.select("file.*", "content_sha")
+
+    new = stored(first_files(seen.where(~F.col("_may")).select("repo", "path", "content_sha")))
+    fresh = seen.where(~F.col("_may")).join(
+        broadcast_if_small(new), ["repo", "path", "content_sha"], "left_semi"
     )
-    return keys.join(results, "content_sha")
+    fresh = fresh.select("content_sha", "content")
+    look = first_files(seen.where("_may").select("repo", "path", "content_sha"))
+    look = stored(look.join(known.select("content_sha"), "content_sha", "left_anti"))
+    if not look.isEmpty():
+        again = raw_files.select("repo", "path", "content").join(
+            broadcast_if_small(look), ["repo", "path"]
+        )
+        fresh = fresh.unionByName(again.select("content_sha", "content"))
+    # Rows that repeat a file are one content.
+    return keys, analyse(fresh.dropDuplicates(["content_sha"]))
+
+
+#: Files of one content from which on its result is joined by broadcast.
+HOT_COPIES = 100_000
+
+
+def _with_results(keys: DataFrame, results: DataFrame) -> DataFrame:
+    """Results joined to files; hashes of very many copies apart, so that none is a hot key."""
+    copies = keys.groupBy("content_sha").agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(copies.where(F.col("n") > HOT_COPIES).select("content_sha"))
+    if hot.isEmpty():
+        return keys.join(results, "content_sha")
+    few = broadcast_if_small(hot)
+    usual = keys.join(few, "content_sha", "left_anti").join(results, "content_sha")
+    common = stored(results.join(few, "content_sha", "left_semi"))
+    return usual.unionByName(keys.join(broadcast_if_small(common), "content_sha"))

@@ -67,6 +67,41 @@ def test_incremental_scan_reuses_and_shares(raw):
     again = corpus.incremental_scan(files, known, analyse)
     assert {(r.path, r.reused) for r in again.collect()} == {("1", True), ("2", False)}
     assert seen == [2, 1]
+    # A filter so small that everything looks known changes no result.
+    full = corpus.incremental_scan(files, known, analyse, filter_bits=64)
+    assert {(r.path, r.reused) for r in full.collect()} == {("1", True), ("2", False)}
+
+
+def test_scan_with_state_analyses_new_hashes_only(raw, tmp_path, monkeypatch):
+    seen = []
+
+    def analyse(texts):
+        seen.append(sorted(r.content.decode() for r in texts.select("content").collect()))
+        n = corpus.count_lines(F.col("content").cast("string"))["total"]
+        return texts.select("content_sha", n.alias("n"))
+
+    def run(*files):
+        monkeypatch.setattr(corpus, "HOT_COPIES", 2)
+        found = corpus.scan_with_state(raw(*files), str(tmp_path / "state"), analyse, "content_sha string, n int", 1 << 12)
+        return sorted((r.repo, r.path, r.n, r.reused) for r in found.collect())
+
+    first = [("a", "1", "x\ny"), ("b", "1", "x\ny"), ("b", "1", "x\ny"), ("b", "2", "z"), ("c", "e", "")]
+    assert run(*first) == [
+        ("a", "1", 2, False), ("b", "1", 2, False), ("b", "1", 2, False), ("b", "2", 1, False),
+        ("c", "e", 0, False),
+    ]
+    assert run(*first, ("d", "new", "1\n2\n3")) == [
+        ("a", "1", 2, True), ("b", "1", 2, True), ("b", "1", 2, True), ("b", "2", 1, True),
+        ("c", "e", 0, True), ("d", "new", 3, False),
+    ]
+    assert [r[3] for r in run(("d", "new", "1\n2\n3"))] == [True]
+    assert seen == [["", "x\ny", "z"], ["1\n2\n3"], []]
+
+
+def test_size_limit_is_a_parameter(raw):
+    files = raw(("r", "a.txt", "12345\n67"))
+    counts = [corpus.build_files(files, max_bytes=n).first() for n in (4, 8, None)]
+    assert [(r.line_count, r.content) for r in counts] == [(0, None), (2, "12345\n67"), (2, "12345\n67")]
 
 
 def test_scan_corpus_reads_a_tree(spark, tmp_path):
@@ -141,3 +176,31 @@ def test_size_shares_and_diff(raw):
     after = corpus.content_hash(raw(("a", "k", "1"), ("a", "m", "2"), ("b", "d", "1")))
     changes = {(r.repo, r.path, r.change) for r in history.diff_snapshots(before, after).collect()}
     assert changes == {("a", "m", "modified"), ("a", "d", "deleted"), ("b", "d", "added")}
+
+
+def test_ignore_globs(raw):
+    """Names and paths, wildcards that stop at a slash in names only, and odd brackets.
+
+    In a path as a whole a bracket may stand for a slash, so ``old[!2].txt`` hides ``old/.txt``.
+    """
+    paths = [
+        "x.log", "a/x.log", "a/b/c.txt", "build/out.o", "src/build/out.o", "old1.txt", "old/.txt",
+        "a[b", "a+b.c", "q/r/s.py", "qr", "doc/a.md", "doc/deep/a.md", "line\nbreak.log", "z.LOG",
+    ]
+    ignore = "*.log\n  # no\nbuild/\nold[!2].txt\na[b\na+b.?\nq*s.py\ndoc/*.md\n\n"
+    files = raw(("r", ".gitignore", ignore), *[("r", p, "1") for p in paths], ("s", "x.log", "1"))
+    kept = {(r.repo, r.path) for r in corpus.filter_gitignore(files).collect()}
+    assert kept == {
+        ("r", ".gitignore"), ("r", "a/b/c.txt"), ("r", "qr"), ("r", "z.LOG"), ("s", "x.log"),
+    }
+
+
+def test_ignoring_moves_no_contents(raw, monkeypatch):
+    """Also beyond the limit of a broadcast, where keys go in several blocks."""
+    monkeypatch.setattr(corpus, "BROADCAST_BYTES", 100)
+    names = [("r", f"f{i}.log", "1") for i in range(20)] + [("r", f"f{i}.txt", "1") for i in range(5)]
+    files = raw(("r", ".gitignore", "*.log\n" + "\n".join(f"n{i}" for i in range(50))), *names)
+    kept = corpus.filter_gitignore(files)
+    assert kept.count() == 6
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
