@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims, paths
@@ -330,6 +330,25 @@ def write_report(lines: DataFrame, path: str, buckets: int = 64) -> None:
     )
 
 
+def read_report(spark: SparkSession, path: str, repos: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Report lines written by ``write_report``; with ``repos`` only their folders are read."""
+    schema = "repo string, section int, item array<string>, line string, bucket int"
+    lines = spark.read.schema(schema).json(path)
+    if repos is not None:
+        names = spark.createDataFrame([(repo,) for repo in repos], "repo string")
+        numbers = names.select(F.pmod(F.xxhash64("repo"), F.lit(buckets)).cast("int")).collect()
+        lines = lines.where(F.col("bucket").isin([n[0] for n in numbers]))
+        lines = lines.where(F.col("repo").isin(repos))
+    return lines.drop("bucket")
+
+
+def report_documents(lines: DataFrame) -> DataFrame:
+    """(repo, document): lines joined to whole documents, for repositories whose document fits a row."""
+    ordered = F.array_sort(F.collect_list(F.struct("section", "item", "line")))
+    text = F.array_join(F.transform(ordered, lambda r: r["line"]), "")
+    return lines.groupBy("repo").agg(text.alias("document"))
+
+
 def _list_of(rows: DataFrame, alias: str, order: Column, text: Column) -> DataFrame:
     """Bounded top lists as one array of texts per repository."""
     gathered = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
