@@ -137,36 +137,40 @@ def _block_pairs(parts: DataFrame) -> DataFrame:
     ).where((F.col("key") != F.col("other_key")) | (F.col("part") <= F.col("other_part")))
 
 
-def _letters(words: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    """Letter counts, one row per word."""
-    flat = np.array([alphabet[c] for word in words for c in word], np.int64)
-    row = np.repeat(np.arange(len(words)), [len(word) for word in words])
-    counts = np.bincount(row * len(alphabet) + flat, minlength=len(words) * len(alphabet))
-    return counts.reshape(len(words), len(alphabet)).astype(np.float32)
+def _codes(words: np.ndarray) -> np.ndarray:
+    """Code points of words of one length, one row per word."""
+    length = len(words[0])
+    return words.astype(f"U{length}").view(np.uint32).reshape(len(words), length)
 
 
-def close_pairs(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _letters(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Counts of the letters of the alphabet, one row per word."""
+    places = np.searchsorted(alphabet, codes) + np.arange(len(codes))[:, None] * len(alphabet)
+    counts = np.bincount(places.ravel(), minlength=len(codes) * len(alphabet))
+    # Small whole numbers: products in float32 are exact up to 2^24, squares of 4096 letters.
+    exact = np.float32 if codes.shape[1] < 4096 else np.float64
+    return counts.reshape(len(codes), len(alphabet)).astype(exact)
+
+
+def close_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs whose letter counts are at a squared distance of at most two."""
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join(left)) | set("".join(right))))}
+    alphabet = np.union1d(left, right)
     a, b = _letters(left, alphabet), _letters(right, alphabet)
-    # Counts are small whole numbers, so float32 products are exact up to 2^24 of summed squares.
-    if max((a * a).sum(axis=1).max(), (b * b).sum(axis=1).max()) >= 1 << 22:
-        a, b = a.astype(np.float64), b.astype(np.float64)
-    gram = a @ b.T
-    squared = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * gram
+    squared = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
     return np.nonzero(squared <= 2)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one code point is inserted, deleted or replaced."""
-    if len(a) > len(b):
-        a, b = b, a
-    if a == b or len(b) - len(a) > 1:
-        return False
-    start = 0
-    while start < len(a) and a[start] == b[start]:
-        start += 1
-    return a[start + (len(a) == len(b)) :] == b[start + 1 :]
+def one_edit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether rows of codes differ by exactly one inserted, deleted or replaced code point."""
+    if left.shape[1] > right.shape[1]:
+        left, right = right, left
+    if left.shape[1] == right.shape[1]:
+        return (left != right).sum(axis=1) == 1
+    # The longer one is right: equal up to some place, and from there on if shifted by one.
+    length = left.shape[1]
+    before = np.logical_and.accumulate(left == right[:, :length], axis=1).sum(axis=1)
+    after = np.logical_and.accumulate((left == right[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return before + after >= length
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,27 +179,32 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = batch.column("same")[row].as_py()
             left, n_left = _members(batch.column("members"), row)
             right, n_right = (left, n_left) if same else _members(batch.column("others"), row)
-            found = [
-                (i, j)
-                for i, j in zip(*(places.tolist() for places in close_pairs(left, right)))
-                if (not same or i < j) and one_edit(left[i], right[j])
-            ]
-            if not found:
+            a, b = _codes(left), _codes(right)
+            i, j = close_pairs(a, b)
+            if same:
+                i, j = i[i < j], j[i < j]
+            # Verified in slices, so that many candidates of long words stay small in memory.
+            step = max(1, (1 << 22) // a.shape[1])
+            near = [one_edit(a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step)]
+            if not near or not any(part.any() for part in near):
                 continue
+            near = np.concatenate(near)
+            i, j = i[near], j[near]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([left[i] for i, _ in found], pa.string()),
-                    pa.array([n_left[i] for i, _ in found], pa.int64()),
-                    pa.array([right[j] for _, j in found], pa.string()),
-                    pa.array([n_right[j] for _, j in found], pa.int64()),
+                    pa.array(left[i], pa.string()),
+                    pa.array(n_left[i], pa.int64()),
+                    pa.array(right[j], pa.string()),
+                    pa.array(n_right[j], pa.int64()),
                 ],
                 ["word", "n", "near", "near_n"],
             )
 
 
-def _members(column: pa.Array, row: int) -> tuple[list[str], list[int]]:
+def _members(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
     values = column[row].values
-    return values.field("word").to_pylist(), values.field("n").to_pylist()
+    words = values.field("word").to_numpy(zero_copy_only=False)
+    return words, values.field("n").to_numpy()
 
 
 def near_words(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
