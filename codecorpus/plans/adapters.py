@@ -17,7 +17,7 @@ from codecorpus.functions import dims
 from codecorpus.functions.rows import computed
 from codecorpus.operators import search
 from codecorpus.plans.analysis import CorpusAnalysis
-from codecorpus.session import shared_folder
+from codecorpus.session import shared_folder, stored
 from codecorpus.sources.corpus import spread
 
 
@@ -401,7 +401,12 @@ class Tables:
     @cache
     def index(self) -> search.SearchIndex:
         """The stored search index of the corpus."""
-        return search.write_index(self.whole_stored().files, self._store(), buckets=32)
+        return search.write_index(self.stored_files(), self._store(), buckets=32)
+
+    @cache
+    def stored_files(self) -> DataFrame:
+        """The files alone, stored; the index needs no structure."""
+        return stored(self.whole().files)
 
     @cache
     def name_rules(self) -> DataFrame:

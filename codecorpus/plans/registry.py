@@ -741,7 +741,7 @@ def sch3_line_kind(t: Tables) -> DataFrame:
 
 @query
 def sch4_build_index(t: Tables) -> DataFrame:
-    return search.posting_blocks(search.build_index(t.whole_stored().files)).select(
+    return search.posting_blocks(search.build_index(t.stored_files())).select(
         "token", "repo", "path", F.size("entries").cast("long").alias("postings"),
         _entries().alias("entries_md5"),
     )
