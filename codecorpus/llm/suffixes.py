@@ -1,10 +1,11 @@
 """Suffix-array dedup over bytes: a distributed merge sort that knows common prefixes.
 
 Only suffixes that start at the windows of recurring anchors (see ``anchors``) take part, cut where
-those windows end.  Each task sorts its suffixes into runs, keeps the first of equal ones, and sends
-the runs front-coded: of each suffix only what differs from the one before.  The receiving task
-merges the runs with a loser tree that remembers common prefixes and never compares them again.
-Equal suffixes meet in the merge, and all but the earliest are repeats.
+those windows end.  Each task sorts its suffixes into runs, keeps the first of equal ones, and writes
+the runs front-coded: of each suffix only what differs from the one before.  A sample of the runs
+gives splitters; every run is cut at them, and the task of a range merges its pieces with a loser
+tree that remembers common prefixes and never compares them again.  Equal suffixes meet in the merge,
+and all but the earliest are repeats.
 
 A suffix stands for a range of windows around one anchor.  If two suffixes of the same anchor
 differ, some of their windows may still be equal: these few go round again in blocks of
@@ -15,13 +16,12 @@ windows, which settles every one of them byte by byte.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm.anchors import (
@@ -46,8 +46,11 @@ GRAM = 40
 BLOCK_WINDOWS = 8
 #: Bytes of suffixes sorted into one run.
 RUN_BYTES = 8_000_000
-#: Bytes of suffixes merged in one group, and repeats found by a run that travel in one row.
-PART_BYTES = 16_000_000
+#: Bytes of suffixes merged in one group, pieces that a run is cut into at a time, bytes of suffixes
+#: for which one is put into the sample, and repeats found by a run that travel in one row.
+PART_BYTES = 8_000_000
+FAN_OUT = 64
+SAMPLE_BYTES = 64_000
 LATE_ROWS = 50_000
 
 
@@ -122,74 +125,124 @@ def anchor_ranges(block: Block, single: pa.Array, window: int, powers: Powers) -
 
 
 class RunWriter:
-    """Collects suffixes and yields them as sorted, front-coded runs, one row per part.
+    """Collects suffixes as rows of one byte matrix and yields them as sorted, front-coded runs.
 
-    Repeats that it meets itself are settled: they go out in rows of their own, each with a part
-    below 0 that no run has, so they never enter a merge.
+    A row of the matrix is a suffix padded with zeros, then its length in two bytes, so rows compare
+    as the suffixes do.  A full matrix is sorted; the first of equal suffixes stays, the others are
+    settled.  These go out in rows of their own, each with a part below 0, and enter no exchange.
 
     ``numbers`` are seven rows of 64-bit numbers: h, key, place, start and n of each suffix, the
     length of its common prefix with the one before, and that of its rest.
     """
 
-    names = ("part", "doc", "numbers", "rest", "late_key", "late_start", "late_n")
-
-    def __init__(self, parts: int, id_type: pa.DataType):
-        self.parts, self.id_type = parts, id_type
-        self.clear()
-
-    def clear(self) -> None:
-        self.first: dict[bytes, tuple] = {}
-        self.late: list[tuple] = []
-        self.n_bytes = 0
-
-    def add(self, suffix: bytes, entry: tuple) -> None:
-        """entry: (order, h, doc, key, place, start, n); order puts texts and places in sequence."""
-        held = self.first.get(suffix)
-        if held is None:
-            self.first[suffix] = entry
-            self.n_bytes += len(suffix)
-            return
-        if entry[0] == held[0]:
+    def __init__(self, id_type: pa.DataType, window: int, width: int):
+        self.id_type, self.window, self.width = id_type, window, width
+        self.late: list[np.ndarray] = []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.texts: list[tuple] = []
+        self.matrix = np.empty((0, self.width + 2), np.uint8)
+        self.numbers = np.empty((6, 0), np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+
+    def add(self, data: np.ndarray, low: np.ndarray, numbers: np.ndarray, texts: list[tuple]) -> None:
+        """Suffixes of ``data`` from ``low``; numbers: h, key, place, start, n, and which of texts.
+
+        A text is (id is null, id, key), which is the order of texts.
+        """
+        rows = np.lib.stride_tricks.sliding_window_view(
+            np.concatenate((data, np.zeros(self.width + 2, np.uint8))), self.width + 2
+        )[low]
+        sizes = numbers[4] + self.window - 1
+        rows[np.arange(self.width + 2) >= sizes[:, None]] = 0
+        rows[:, -2], rows[:, -1] = sizes >> 8, sizes & 255
+        numbers = numbers.copy()
+        numbers[5] += len(self.texts)
+        self.texts += texts
+        self.waiting.append((rows, numbers))
+        self.n_waiting += rows.size
+
+    def settle(self) -> None:
+        """Sorts what is there and keeps the first of equal suffixes."""
+        if not self.waiting:
             return
-        if entry[0] < held[0]:
-            self.first[suffix], entry = entry, held
-        self.late.append((entry[3], entry[5], entry[6]))
+        rows = np.concatenate([self.matrix] + [rows for rows, _ in self.waiting])
+        numbers = np.concatenate([self.numbers] + [more for _, more in self.waiting], axis=1)
+        self.waiting, self.n_waiting = [], 0
+        rank_of = {text: rank for rank, text in enumerate(sorted(set(self.texts)))}
+        rank = np.array([rank_of[text] for text in self.texts], np.int64)[numbers[5]]
+        order = np.lexsort((numbers[3], rank))
+        order = order[np.argsort(rows[order].view(f"S{rows.shape[1]}").ravel(), kind="stable")]
+        rows, numbers, rank = rows[order], numbers[:, order], rank[order]
+        same = np.zeros(len(rows), bool)
+        same[1:] = (rows[1:] == rows[:-1]).all(axis=1)
+        repeated = same.copy()  # a row that repeats id and text is the same text
+        repeated[1:] &= (rank[1:] == rank[:-1]) & (numbers[3, 1:] == numbers[3, :-1])
+        if (same & ~repeated).any():
+            self.late.append(numbers[[1, 3, 4]][:, same & ~repeated])
+        self.matrix, self.numbers = rows[~same], numbers[:, ~same]
 
     def full(self) -> bool:
-        return self.n_bytes > RUN_BYTES or len(self.late) > 500_000
+        """Whether a run is due; settles a full matrix first, which may make room again."""
+        if self.n_waiting >= RUN_BYTES:
+            self.settle()
+        return self.matrix.size >= RUN_BYTES or sum(x.shape[1] for x in self.late) > 500_000
 
     def run(self) -> pa.RecordBatch | None:
-        if not self.first:
-            return None
-        part_of = [[] for _ in range(self.parts)]
-        for suffix in sorted(self.first):
-            part_of[_part(suffix, self.parts)].append(suffix)
-        rows = []
-        for part, suffixes in enumerate(part_of):
-            if not suffixes:
-                continue
-            common, rest, before = [], [], b""
-            for suffix in suffixes:
-                shared = common_prefix(before, suffix, 0)
-                common.append(shared)
-                rest.append(suffix[shared:])
-                before = suffix
-            entries = [self.first[s] for s in suffixes]
-            numbers = [[e[k] for e in entries] for k in (1, 3, 4, 5, 6)]
-            numbers += [common, [len(x) for x in rest]]
-            rows.append(
-                (part, [e[2] for e in entries], packed(np.array(numbers, np.int64).tobytes()),
-                 packed(b"".join(rest)), [], [], [])
-            )
-        for at in range(0, len(self.late), LATE_ROWS):
-            some = self.late[at : at + LATE_ROWS]
-            digest = hashlib.blake2b(repr((at, some[0], some[-1])).encode(), digest_size=7).digest()
-            rows.append((-1 - int.from_bytes(digest), None, None, None, *(list(x) for x in zip(*some))))
-        self.clear()
-        longs = pa.list_(pa.int64())
-        types = [pa.int64(), pa.list_(self.id_type), pa.binary(), pa.binary(), longs, longs, longs]
-        columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
-        return pa.RecordBatch.from_arrays(columns, names=list(self.names))
+        self.settle()
+        rows = [run_row(0, *self._coded())] if len(self.matrix) else []
+        if self.late:
+            rows += late_parts(np.concatenate(self.late, axis=1))
+        self.late = []
+        self._clear()
+        return run_batch(rows, self.id_type) if rows else None
+
+    def _coded(self) -> tuple:
+        plain, numbers = self.matrix[:, :-2], self.numbers
+        sizes = numbers[4] + self.window - 1
+        common = np.zeros(len(plain), np.int64)
+        differ = plain[1:] != plain[:-1]
+        common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), self.width)
+        common[1:] = np.minimum(common[1:], np.minimum(sizes[1:], sizes[:-1]))
+        at = np.arange(self.width)
+        rest = plain[(at >= common[:, None]) & (at < sizes[:, None])].tobytes()
+        every = max(1, SAMPLE_BYTES // (self.width + 2))
+        sample = [
+            plain[i, : sizes[i]].tobytes() for i in range(min(every, len(plain)) // 2, len(plain), every)
+        ]
+        docs = [self.texts[t][1] for t in numbers[5].tolist()]
+        return docs, np.concatenate((numbers[:5], [common], [sizes - common])), rest, sample
+
+
+RUN_NAMES = ("part", "bytes", "doc", "numbers", "rest", "sample", "late_key", "late_start", "late_n")
+
+
+def run_row(part: int, docs: list, numbers: np.ndarray, rest: bytes, sample: list[bytes]) -> tuple:
+    """One front-coded run, with the bytes that its suffixes have."""
+    n_bytes = int(numbers[5].sum() + numbers[6].sum())
+    coded = packed(np.ascontiguousarray(numbers, np.int64).tobytes())
+    return part, n_bytes, docs, coded, packed(rest), sample, [], [], []
+
+
+def late_parts(late: np.ndarray) -> list[tuple]:
+    """Rows of known repeats (key, start, n), at most ``LATE_ROWS`` in each."""
+    rows = []
+    for at in range(0, late.shape[1], LATE_ROWS):
+        some = late[:, at : at + LATE_ROWS]
+        digest = hashlib.blake2b(some[:, [0, -1]].tobytes() + bytes([at % 251]), digest_size=7).digest()
+        rows.append((-1 - int.from_bytes(digest), 0, None, None, None, None, *some.tolist()))
+    return rows
+
+
+def run_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    types = [
+        long, long, pa.list_(id_type), pa.binary(), pa.binary(), pa.list_(pa.binary()), longs, longs, longs,
+    ]
+    columns = [pa.array([row[k] for row in rows], t) for k, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays(columns, names=list(RUN_NAMES))
 
 
 def packed(data: bytes) -> bytes:
@@ -200,10 +253,6 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _part(suffix: bytes, parts: int) -> int:
-    return zlib.crc32(suffix) % parts
-
-
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of two strings that agree on the first ``known`` bytes."""
     n = min(len(a), len(b))
@@ -287,72 +336,182 @@ class LoserTree:
             self.winner = at
 
 
-def late_rows(table: pa.Table) -> pa.Table:
-    key, start, n = (
-        table.column(name).combine_chunks().flatten() for name in ("late_key", "late_start", "late_n")
-    )
-    none = pa.nulls(len(key), pa.int64())
-    late = pa.array(np.ones(len(key), bool))
-    return pa.table([late, none, key, none, start, n], names=["late", "h", "key", "place", "start", "n"])
+def read_run(numbers: bytes, rest: bytes) -> tuple[np.ndarray, FrontCoded]:
+    table = np.frombuffer(unpacked(numbers), np.int64).reshape(7, -1)
+    return table, FrontCoded(table[5].tolist(), table[6].tolist(), unpacked(rest))
+
+
+def cut_run(row: dict, fan: int) -> list[tuple]:
+    """A run cut at the splitters of its range: the piece between two of them is a run of its own."""
+    table, reader = read_run(row["numbers"], row["rest"])
+    splitters, edges, heads, starts = row["splitters"] or [], [], [], []
+    at = -1  # the range of the last suffix
+    while reader.next() >= 0:
+        now = max(at, 0)
+        while now < len(splitters) and reader.suffix >= splitters[now]:
+            now += 1
+        if now != at:
+            at = now
+            edges.append((at, reader.at))
+            heads.append(reader.suffix)
+            starts.append(reader.place)
+    out = []
+    stops = [first for _, first in edges[1:]] + [table.shape[1]]
+    ends = [place - int(table[6, first]) for place, (_, first) in zip(starts[1:], edges[1:])]
+    ends.append(len(reader.rest))
+    for (part, first), stop, head, start, end in zip(edges, stops, heads, starts, ends):
+        piece = table[:, first:stop].copy()
+        piece[5, 0], piece[6, 0] = 0, len(head)
+        rest = head + reader.rest[start:end]
+        out.append(run_row(row["part"] * fan + part, row["doc"][first:stop], piece, rest, []))
+    return out
+
+
+def merge(table: pa.Table) -> tuple[np.ndarray, list, np.ndarray, list[bytes], np.ndarray]:
+    """Merges the runs of one range: numbers, ids, common prefixes and rests of the distinct
+    suffixes in order, each with its earliest place, and the late ones (key, start, n)."""
+    docs, tables, runs = [], [], []
+    for one in table.select(["doc", "numbers", "rest"]).to_pylist():
+        numbers, run = read_run(one["numbers"], one["rest"])
+        docs += one["doc"]
+        tables.append(numbers)
+        runs.append(run)
+    offsets = np.cumsum([0] + [t.shape[1] for t in tables]).tolist()
+    places, common, rests, group = [], [], [], []
+    length, n = -1, -1
+    for run, i, shared in LoserTree(runs).merge():
+        suffix = runs[run].suffix
+        if not shared == len(suffix) == length or n < 0:
+            n += 1
+            length = len(suffix)
+            common.append(shared)
+            rests.append(suffix[shared:])
+        places.append(offsets[run] + i)
+        group.append(n)
+    places, group = np.array(places, np.int64), np.array(group, np.int64)
+    numbers = np.concatenate(tables, axis=1)[:5, places]
+    # Only where suffixes are equal does it matter which text comes first.
+    rank = np.zeros(len(places), np.int64)
+    several = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
+    texts = [
+        (docs[p] is None, docs[p], key)
+        for p, key in zip(places[several].tolist(), numbers[1, several].tolist())
+    ]
+    rank_of = {text: k for k, text in enumerate(sorted(set(texts)))}
+    rank[several] = [rank_of[text] for text in texts]
+    order = np.lexsort((numbers[3], rank, group))
+    places, group, rank, numbers = places[order], group[order], rank[order], numbers[:, order]
+    first = np.ones(len(group), bool)
+    first[1:] = group[1:] != group[:-1]
+    late = ~first
+    late[1:] &= (rank[1:] != rank[:-1]) | (numbers[3, 1:] != numbers[3, :-1])
+    kept = [docs[p] for p in places[first].tolist()]
+    return numbers[:, first], kept, np.array(common, np.int64), rests, numbers[[1, 3, 4]][:, late]
 
 
 def merge_runs(table: pa.Table) -> pa.Table:
-    """Merges the runs of one part: repeats (late true) and the first of each suffix.
-
-    A part below 0 holds repeats that are known already; they are passed on as they are.
-    """
-    if table.num_rows and table.column("part")[0].as_py() < 0:
-        return late_rows(table)
-    data = {name: table.column(name).to_pylist() for name in ("doc", "numbers", "rest")}
-    numbers = [np.frombuffer(unpacked(x), np.int64).reshape(7, -1).tolist() for x in data["numbers"]]
-    runs = [FrontCoded(n[5], n[6], unpacked(r)) for n, r in zip(numbers, data["rest"])]
-    out: list[tuple] = []
-    tree = LoserTree(runs)
-    first, length = None, -1
-
-    def entry(run: int, i: int) -> tuple:
-        doc = data["doc"][run][i]
-        h, key, place, start, n = (row[i] for row in numbers[run][:5])
-        return (doc is None, doc, key, start), h, key, place, start, n
-
-    for run, i, shared in tree.merge():
-        size = len(runs[run].suffix)
-        here = entry(run, i)
-        if first is not None and shared == size == length:
-            if here[0] < first[0]:
-                first, here = here, first
-            if here[0] != first[0]:
-                out.append((True, *here[1:]))
-            continue
-        if first is not None:
-            out.append((False, *first[1:]))
-        first, length = here, size
-    if first is not None:
-        out.append((False, *first[1:]))
-    names = ["late", "h", "key", "place", "start", "n"]
-    types = [pa.bool_()] + [pa.int64()] * 5
-    columns = list(zip(*out)) if out else [()] * 6
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+    """The runs of one range as one run, with rows of the repeats that it met."""
+    part = table.column("part")[0].as_py()
+    numbers, docs, common, rests, late = merge(table)
+    sizes = np.array([len(rest) for rest in rests], np.int64)
+    # The first of every so many suffixes is a sample of the run.
+    every = max(1, SAMPLE_BYTES * len(rests) // max(1, int(common.sum() + sizes.sum())))
+    sample, suffix = [], b""
+    for i, rest in enumerate(rests):
+        suffix = suffix[: common[i]] + rest
+        if i % every == every // 2:
+            sample.append(suffix)
+    row = run_row(part, docs, np.concatenate((numbers, [common], [sizes])), b"".join(rests), sample)
+    id_type = table.schema.field("doc").type.value_type
+    return pa.Table.from_batches([run_batch([row, *late_parts(late)], id_type)])
+
+
+def merge_last(table: pa.Table) -> pa.Table:
+    """Repeats of one range (late true) and the earliest place of each distinct suffix."""
+    numbers, _, _, _, late = merge(table)
+    n_late, n_first = late.shape[1], numbers.shape[1]
+    h = pa.concat_arrays([pa.nulls(n_late, pa.int64()), pa.array(numbers[0])])
+    place = pa.concat_arrays([pa.nulls(n_late, pa.int64()), pa.array(numbers[2])])
+    rest = [pa.array(np.concatenate((late[k], numbers[j]))) for k, j in enumerate((1, 3, 4))]
+    is_late = pa.array(np.repeat([True, False], [n_late, n_first]))
+    return pa.table(
+        [is_late, h, rest[0], place, rest[1], rest[2]],
+        names=["late", "h", "key", "place", "start", "n"],
+    )
 
 
 MERGED = "late boolean, h long, key long, place long, start long, n long"
 RANGES = "array<struct<place:long,start:long,n:long>>"
 
 
-def n_parts(spark: SparkSession, n_bytes: int) -> int:
-    """Parts for so many bytes of suffixes, so that a part does not grow with the input."""
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+def splitters_of(runs: DataFrame, fan: int) -> DataFrame:
+    """Per range (``part``) at most ``fan`` - 1 suffixes that cut it into about equal pieces.
+
+    They are chosen from a sample of bounded size, the suffixes with the smallest hashes.
+    """
+    sample = runs.select("part", F.explode("sample").alias("s"))
+    smallest = Window.partitionBy("part").orderBy(F.xxhash64("s"), "s")
+    sample = sample.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= 64 * fan)
+    chosen = sample.groupBy("part").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    size = F.size("s")
+    at = F.transform(
+        F.sequence(F.lit(1), F.lit(fan - 1)), lambda k: F.get(F.col("s"), F.floor(k * size / fan).cast("int"))
+    )
+    return chosen.select(F.col("part").alias("of"), F.array_distinct(at).alias("splitters"))
 
 
-def sorted_and_merged(rows: DataFrame, cut, window: int, id_type: str, parts: int) -> DataFrame:
+def exchanged(runs: DataFrame, schema: str) -> DataFrame:
+    """Sorted runs merged over the corpus: late, h, key, place, start, n; ``runs`` is stored.
+
+    Runs are cut by ranges of suffixes and the pieces of a range merged.  A run is cut into at most
+    ``FAN_OUT`` pieces at a time.  If ranges must be smaller, pieces of up to ``FAN_OUT`` runs are
+    merged into new runs, which are cut again.  So the number of pieces is in proportion to the runs.
+    """
+    late = []
+    while True:
+        late.append(
+            runs.where("part < 0")
+            .select(F.explode(F.arrays_zip("late_key", "late_start", "late_n")).alias("x"))
+            .selectExpr(
+                "true as late", "cast(null as long) as h", "x.late_key as key",
+                "cast(null as long) as place", "x.late_start as start", "x.late_n as n",
+            )
+        )
+        open_ = runs.where("part >= 0")
+        largest = open_.groupBy("part").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        n_bytes, n_runs = largest.agg(F.max("bytes"), F.max("n")).first()
+        fan = min(FAN_OUT, -(-(n_bytes or 0) // PART_BYTES))
+        last = (n_bytes or 0) <= FAN_OUT * PART_BYTES or n_runs <= FAN_OUT
+        if fan > 1:
+            cuts = stored(splitters_of(open_, fan))
+            open_ = open_.drop("sample").join(cuts, open_["part"] == cuts["of"], "left").drop("of")
+
+            def cut(batches: Iterator[pa.RecordBatch], fan: int = fan) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    id_type = batch.schema.field("doc").type.value_type
+                    for k in range(batch.num_rows):
+                        yield run_batch(cut_run(batch.slice(k, 1).to_pylist()[0], fan), id_type)
+
+            open_ = open_.mapInArrow(cut, schema)
+        if last:
+            merged = open_.groupBy("part").applyInArrow(merge_last, MERGED)
+            for more in late:
+                merged = merged.union(more)
+            return merged
+        slot = F.pmod(F.xxhash64("numbers"), F.lit(-(-n_runs // FAN_OUT)))
+        groups = open_.withColumn("slot", slot).groupBy("part", "slot")
+        runs = stored(groups.applyInArrow(merge_runs, schema))
+
+
+def sorted_and_merged(rows: DataFrame, cut, window: int, id_type: str, width: int) -> DataFrame:
     """Which suffixes are repeats: late, h, key, place, start, n.
 
     ``rows`` has _key, _text, what ``cut`` needs, and _id.  ``cut`` gives for a block of texts the
-    hash, anchor place, first window and last window of each suffix.  Every repeat is a late row;
-    of each distinct suffix the earliest is one row that is not late.
+    hash, anchor place, first window and last window of each suffix, of at most ``width`` bytes.
+    Every repeat is a late row; of each distinct suffix the earliest is one row that is not late.
     """
     schema = (
-        f"part long, doc array<{id_type}>, numbers binary, rest binary, "
+        f"part long, bytes long, doc array<{id_type}>, numbers binary, rest binary, sample array<binary>, "
         "late_key array<long>, late_start array<long>, late_n array<long>"
     )
 
@@ -360,28 +519,31 @@ def sorted_and_merged(rows: DataFrame, cut, window: int, id_type: str, parts: in
         writer, powers = None, Powers(BYTE_BASE)
         for batch in slices(batches, 1):
             if writer is None:
-                writer = RunWriter(parts, batch.column(3).type)
+                writer = RunWriter(batch.column(3).type, window, width)
             block = Block(batch.column(1))
             if not len(block.bytes):
                 continue
             h, place, low, high = cut(block, batch.column(2), powers)
-            if not len(h):
-                continue
             text = np.searchsorted(block.bounds, low, side="right") - 1
             offset = block.bounds[text]
-            keys, ids = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            data = block.bytes.tobytes()
-            columns = (h, place - offset, low - offset, high - low + 1, low, high, text)
-            for hash_, at, start, n, a, b, t in zip(*(x.tolist() for x in columns)):
-                order = (ids[t] is None, ids[t], keys[t], start)
-                writer.add(data[a : b + window], (order, hash_, ids[t], keys[t], at, start, n))
-            if writer.full():
-                yield writer.run()
-        if writer is not None and writer.first:
-            yield writer.run()
-
-    runs = rows.mapInArrow(write, schema)
-    return runs.groupBy("part").applyInArrow(merge_runs, MERGED)
+            keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
+            texts = list(zip([one is None for one in ids], ids, keys.tolist()))
+            numbers = np.stack((h, keys[text], place - offset, low - offset, high - low + 1, text))
+            step = max(1, RUN_BYTES // width)
+            for a in range(0, len(h), step):
+                some = slice(a, a + step)
+                used, which = np.unique(text[some], return_inverse=True)
+                part = numbers[:, some].copy()
+                part[5] = which
+                writer.add(block.bytes, low[some], part, [texts[t] for t in used.tolist()])
+                if writer.full():
+                    yield writer.run()
+        if writer is not None:
+            run = writer.run()
+            if run is not None:
+                yield run
+
+    return exchanged(stored(rows.mapInArrow(write, schema)), schema)
 
 
 def still_open(merged: DataFrame) -> DataFrame:
@@ -405,16 +567,6 @@ def ranges_of(block: Block, column: pa.Array) -> tuple[np.ndarray, ...]:
     return place + offset, start + offset, n
 
 
-def bytes_of_blocks(window: int, width: int) -> Column:
-    """How many bytes the blocks have, at most, into which ``cut_blocks`` cuts ``_ranges``."""
-
-    def of(one: Column) -> Column:
-        blocks = F.least(one["n"], F.floor(one["n"] / F.lit(width)) + 2)
-        return one["n"] + blocks * F.lit(window - 1)
-
-    return F.aggregate("_ranges", F.lit(0).cast("long"), lambda total, one: total + of(one))
-
-
 def cut_blocks(window: int, width: int):
     """Cuts ranges into blocks of ``width`` windows at the same distances from the anchor.
 
@@ -456,35 +608,22 @@ def repeated_bytes(
         F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"),
         row_key(doc_id, text).alias("_key"),
     )
-    spark = docs.sparkSession
     once = stored(singles(find_anchors(rows, window)))
-    n_single = once.agg(F.sum(F.size("single"))).first()[0] or 0
-    # Of random text two places in ``window - GRAM + 2`` are anchors; where text repeats itself more
-    # are, but those suffixes are equal.  The windows of an anchor all hold it.
-    n_text = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_bytes = max(0, 2 * n_text // (window - GRAM + 2) - n_single) * (2 * window - GRAM)
     joined = rows.join(once.hint("shuffle_hash"), rows["_key"] == once["key"], "left")
 
     def cut_anchors(block: Block, single: pa.Array, powers: Powers) -> tuple[np.ndarray, ...]:
         return anchor_ranges(block, single, window, powers)
 
-    merged = stored(
-        sorted_and_merged(
-            joined.select("_key", "_text", "single", "_id"), cut_anchors, window, id_type,
-            n_parts(spark, n_bytes),
-        )
-    )
+    chosen = joined.select("_key", "_text", "single", "_id")
+    # The windows of an anchor all hold it, so they end at most so far apart.
+    merged = stored(sorted_and_merged(chosen, cut_anchors, window, id_type, 2 * window - GRAM))
     late = [merged.where("late")]
     for width in (BLOCK_WINDOWS, 1):
-        again = stored(still_open(merged))
-        n_bytes = again.agg(F.sum(bytes_of_blocks(window, width))).first()[0] or 0
+        again = still_open(merged)
         chosen = rows.join(again.hint("shuffle_hash"), rows["_key"] == again["_open_key"])
-        merged = stored(
-            sorted_and_merged(
-                chosen.select("_key", "_text", "_ranges", "_id"), cut_blocks(window, width), window,
-                id_type, n_parts(spark, n_bytes),
-            )
-        )
+        chosen = chosen.select("_key", "_text", "_ranges", "_id")
+        cut = cut_blocks(window, width)
+        merged = stored(sorted_and_merged(chosen, cut, window, id_type, window + width - 1))
         late.append(merged.where("late"))
     found = late[0]
     for more in late[1:]:

@@ -68,40 +68,78 @@ def test_small_runs_are_merged(table, corpus, monkeypatch):
 def test_known_repeats_do_not_meet_in_one_group(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(suffixes, "LATE_ROWS", 10, raising=False)
-    writer = suffixes.RunWriter(4, pa.int64())
-    for k in range(50):
-        for copy in range(3):
-            writer.add(b"suffix %d" % k, ((False, copy, copy, k), 1, copy, copy, k, k, 1))
+    monkeypatch.setattr(suffixes, "LATE_ROWS", 10)
+    writer = suffixes.RunWriter(pa.int64(), 9, 10)
+    data = np.frombuffer(b"".join(b"suffix %02d" % k for k in range(50)), np.uint8)
+    for copy in range(3):
+        low = np.arange(50) * 9
+        one = np.full(50, 1)
+        numbers = np.stack((one, one * copy, np.arange(50), np.arange(50), one, one * 0))
+        writer.add(data, low, numbers, [(False, copy, copy)])
     table = pa.Table.from_batches([writer.run()])
     parts, late = table.column("part").to_pylist(), table.column("late_key").to_pylist()
-    held = {}
-    for part, keys in zip(parts, late):
-        held[part] = held.get(part, 0) + len(keys)
-    assert sum(held.values()) == 100 and max(held.values()) <= 10
-    assert all(part < 0 or not n for part, n in held.items())
-    out = []
-    for part in set(parts):
-        rows = table.filter(pa.compute.equal(table.column("part"), part))
-        out += suffixes.merge_runs(rows).to_pylist()
-    assert sorted((r["key"], r["start"]) for r in out if r["late"]) == [(c, k) for c in (1, 2) for k in range(50)]
-    assert sorted((r["key"], r["start"]) for r in out if not r["late"]) == [(0, k) for k in range(50)]
-
-
-def test_parts_grow_with_the_suffixes(table, corpus, monkeypatch):
-    monkeypatch.setattr(suffixes, "PART_BYTES", 300, raising=False)
-    seen = []
-    inner = suffixes.sorted_and_merged
-
-    def watched(rows, cut, window, id_type, parts=None):
-        seen.append(parts)
-        return inner(rows, cut, window, id_type, parts)
-
-    monkeypatch.setattr(suffixes, "sorted_and_merged", watched)
-    docs = table(corpus, "doc_id long, text string")
+    assert sum(map(len, late)) == 100 and max(map(len, late)) <= 10
+    assert all(part < 0 or not n for part, n in zip(parts, late))
+    found = [
+        (key, start)
+        for row in table.to_pylist()
+        for key, start in zip(row["late_key"], row["late_start"])
+    ]
+    assert sorted(found) == [(c, k) for c in (1, 2) for k in range(50)]
+    out = suffixes.merge_last(table.filter(pa.compute.greater_equal(table.column("part"), 0))).to_pylist()
+    assert sorted((r["key"], r["start"]) for r in out) == [(0, k) for k in range(50)]
+    assert not any(r["late"] for r in out)
+
+
+@pytest.mark.parametrize("fan_out", [64, 2])
+def test_pieces_of_runs_are_in_proportion_to_the_runs(table, corpus, monkeypatch, fan_out):
+    monkeypatch.setattr(suffixes, "PART_BYTES", 300)
+    monkeypatch.setattr(suffixes, "RUN_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "SAMPLE_BYTES", 400)
+    monkeypatch.setattr(anchors, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(suffixes, "FAN_OUT", fan_out)
+    fans = []
+    inner = suffixes.splitters_of
+
+    def watched(runs, fan):
+        fans.append(fan)
+        return inner(runs, fan)
+
+    monkeypatch.setattr(suffixes, "splitters_of", watched)
+    docs = table(corpus, "doc_id long, text string", 3)
     got = {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in suffixes.repeated_bytes(docs).collect()}
     assert got == brute_bytes(corpus, 100)
-    assert seen[0] > 16 and len(seen) == 3
+    assert fans and max(fans) <= fan_out
+
+
+def test_runs_are_cut_into_whole_pieces():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    text = bytes(rng.choices(b"ab\x00", k=400))
+    data = np.frombuffer(text, np.uint8)
+    writer = suffixes.RunWriter(pa.int64(), 5, 9)
+    low = np.arange(380)
+    n = 1 + low % 5
+    one = np.ones(380, np.int64)
+    writer.add(data, low, np.stack((one, one, low, low, n, one * 0)), [(False, 1, 1)])
+    run = writer.run().to_pylist()[0]
+    distinct = sorted({text[a : a + k + 4] for a, k in zip(low.tolist(), n.tolist())})
+
+    def read(numbers, rest):
+        _, reader = suffixes.read_run(numbers, rest)
+        out = []
+        while reader.next() >= 0:
+            out.append(reader.suffix)
+        return out
+
+    assert read(run["numbers"], run["rest"]) == distinct
+    splitters = [distinct[7], distinct[50], distinct[90]]
+    pieces = suffixes.cut_run({**run, "splitters": splitters}, 4)
+    assert [row[0] for row in pieces] == [0, 1, 2, 3]
+    assert [read(row[3], row[4]) for row in pieces] == [
+        distinct[:7], distinct[7:50], distinct[50:90], distinct[90:],
+    ]
 
 
 def test_empty_tables_extra_columns_and_other_ids(table):
