@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task works on at a time; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text that a task works on at a time, so that its arrays stay in the processor's cache; a
+#: longer text is a block of its own.
+BLOCK_BYTES = 120_000
 
 _LETTERS = np.random.default_rng(2024).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Odd bases of polynomial hashes and their inverses modulo 2^64.

@@ -45,11 +45,11 @@ WINDOW = 100
 GRAM = 40
 BLOCK_WINDOWS = 8
 #: Bytes of suffixes sorted into one run.
-RUN_BYTES = 8_000_000
+RUN_BYTES = 16_000_000
 #: Bytes of suffixes merged in one group, pieces that a run is cut into at a time, bytes of suffixes
 #: for which one is put into the sample, and repeats found by a run that travel in one row.
-PART_BYTES = 8_000_000
-FAN_OUT = 64
+PART_BYTES = 16_000_000
+FAN_OUT = 256
 SAMPLE_BYTES = 64_000
 LATE_ROWS = 50_000
 
@@ -246,7 +246,7 @@ def run_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
 
 
 def packed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def unpacked(data: bytes) -> bytes:
@@ -636,13 +636,17 @@ def repeated_bytes(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             spans, kept, sizes = [], [], []
-            for body, ranges in zip(batch.column(0), batch.column(1)):
-                data, ranges = body.as_py() or b"", ranges.as_py() or []
+            n_ranges = pa.compute.list_value_length(batch.column(1)).fill_null(0)
+            cuts = np.cumsum([0, *n_ranges.to_pylist()]).tolist()
+            values = batch.column(1).flatten()
+            start, n = (values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+            stop = start + n + window - 1
+            for body, low, high in zip(batch.column(0), cuts, cuts[1:]):
+                data = body.as_py() or b""
                 sizes.append(len(data))
                 change = np.zeros(len(data) + 1, np.int64)
-                for one in ranges:
-                    change[one["start"]] += 1
-                    change[one["start"] + one["n"] + window - 1] -= 1
+                np.add.at(change, start[low:high], 1)
+                np.add.at(change, stop[low:high], -1)
                 first, end = spans_of(np.cumsum(change[:-1]) > 0)
                 spans.append([{"start": s, "end": e} for s, e in zip(first.tolist(), end.tolist())])
                 edges = [0, *np.stack((first, end), 1).ravel().tolist(), len(data)]
