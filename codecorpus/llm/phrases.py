@@ -4,8 +4,8 @@
 2. The phrases that recur are compiled into Aho-Corasick automata, one shard for each block of
    documents that share phrases, and the documents of the block are streamed through it: that finds
    every place of every phrase, word for word.
-3. Windows around the places are compared by 128-bit hash over the whole corpus; those that occur
-   once are ruled out, and the words of all others are removed.
+3. Windows around the places are compared by the XXH128 of their words over the whole corpus; those
+   that occur once are ruled out, and the words of all others are removed.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.llm.anchors import (
     BYTE_BASE,
-    OTHER_BASE,
     WORD_BASE,
     Block,
     Powers,
@@ -135,24 +135,40 @@ def candidate_windows(words: Words, single: pa.Array, window: int) -> np.ndarray
     return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
 
+def window_digests(words: Words, starts: np.ndarray, window: int) -> np.ndarray:
+    """XXH128 of each window's words, joined by one space, as two numbers.
+
+    Polynomial hashes choose the anchors, where a collision only adds a candidate; here one would
+    remove words, and there are texts that make any polynomial hash collide.
+    """
+    data = words.block.bytes.tobytes()
+    first, last = words.first, words.last
+    plain = b" ".join([data[a:b] for a, b in zip(first.tolist(), last.tolist())])
+    end = np.cumsum(last - first + 1) - 1
+    begin = end - (last - first)
+    digests = [
+        xxhash.xxh3_128_digest(plain[a:b])
+        for a, b in zip(begin[starts].tolist(), end[starts + window - 1].tolist())
+    ]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
 def find_windows(rows: DataFrame, window: int) -> DataFrame:
-    """f, g (two independent hashes), key and place of all candidate windows."""
+    """f, g (halves of the XXH128 of the words), key and place of all candidate windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, other = _powers(), (Powers(OTHER_BASE), Powers(BYTE_BASE))
+        powers = _powers()
         for batch in slices(batches, 1):
             words = Words(batch.column(1), powers)
             starts = candidate_windows(words, batch.column(2), window)
             if not len(starts):
                 continue
-            second = word_hashes(words.block, words.first, words.last, 1, other[0])
-            f = words.runs(starts, window, words.hashes, powers[1])
-            g = words.runs(starts, window, second, other[1])
+            halves = window_digests(words, starts, window)
             text = words.texts()[starts]
             key = batch.column(0).to_numpy(zero_copy_only=False)[text]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(f.view(np.int64)), pa.array(g.view(np.int64)),
+                    pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                     pa.array(key), pa.array(starts - words.bounds[text]),
                 ],
                 names=["f", "g", "key", "place"],
