@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions.rows import computed
+from codecorpus.llm.frames import numbered, place, restored
 from codecorpus.llm.host_lines import (
     lines_of,
     n_lines_shared,
@@ -17,7 +18,7 @@ from codecorpus.llm.host_lines import (
 
 #: Share of the host's pages above which a line is boilerplate, and the pages it needs at least.
 MAX_RATIO = 0.1
-MIN_PAGES = 10
+MIN_PAGES = 2
 
 
 def site_line_dedup(
@@ -34,15 +35,18 @@ def site_line_dedup(
     all pages of the host; lines above ``max_ratio`` that are on ``min_pages`` pages at least are
     dropped, every occurrence of them.  Blank lines stay.  A null text is empty and has one line,
     which is blank; null is a host of its own; every row is a page of its own; new columns replace
-    columns of the same name; an empty table gives an empty table.
+    columns of the same name in any case, and other columns may have any name; an empty table gives
+    an empty table.
     """
     names = ["clean_text", "n_lines", "n_dropped"]
-    source = docs.select(*[name for name in docs.columns if name not in names])
+    source = numbered(docs)
+    text, host = (f"_in{place(docs, name)}" for name in (text, host))
     shared = shared_lines(source, min_docs=min_pages, share=max_ratio, text=text, host=host)
     body = text_of(text)
-    return computed(
+    rows = computed(
         with_shared_lines(source, shared, host),
         clean_text=without_lines(body, F.col("_lines")),
         n_lines=F.size(lines_of(body)).cast("long"),
         n_dropped=n_lines_shared(body, F.col("_lines")),
-    ).drop("_lines")
+    )
+    return rows.select(*restored(docs, names), *names)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codecorpus.llm.frames import numbered, place, restored
 from codecorpus.llm.host_lines import WORD, text_of
 from codecorpus.session import broadcast_if_small, stored
 
@@ -280,14 +281,16 @@ def mix(
 def take_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` takes it, with copy (from 1).
 
-    Rows that repeat doc_id and text are matched in any order.
+    Rows that repeat doc_id and text are matched in any order.  A column named copy is replaced;
+    other columns may have any name.
     """
     lists = mixed.groupBy("_key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
     here = Window.partitionBy("_key").orderBy("_key")
     # Numbering and join both go by the digest, so texts are shuffled once.
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
+    key = F.xxhash64(*[F.col(f"_in{place(docs, name)}") for name in (doc_id, text)])
+    keyed = numbered(docs).withColumn("_key", key)
     keyed = keyed.withColumn("_nth", F.row_number().over(here))
-    names = [name for name in docs.columns if name != "copy"]
     joined = keyed.join(lists, "_key").withColumn("_times", F.get("_copies", F.col("_nth") - 1))
     taken = joined.where("_times > 0")
-    return taken.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("copy"))
+    number = F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("copy")
+    return taken.select(*restored(docs, ["copy"]), number)

@@ -119,7 +119,7 @@ OP5 = f"""
 with {_LINES},
 common as (
   select counts.source, k from counts join totals on counts.source is not distinct from totals.source
-  where n >= 10 and n > 0.1 * docs
+  where n >= 2 and n > 0.1 * docs
 ),
 marked as (
   select l.*, exists (

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions.rows import computed
+from codecorpus.llm.frames import numbered, place, restored
 from codecorpus.llm.host_lines import (
     WORD,
     has_word,
@@ -21,6 +22,7 @@ from codecorpus.llm.host_lines import (
     without_lines,
 )
 
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -41,8 +43,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     as plain numbers, and only texts with equal hashes sort them with their positions.  The result
     columns replace columns of the same name.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rest = [F.col(name) for name in docs.columns if name not in names]
+    rest = [F.col(name) for name in docs.columns if name not in BASE]
     body = text_of(text)
     lines = F.filter(lines_of(body), has_word)
     rows = computed(
@@ -108,11 +109,12 @@ def quality_rules(
     fewer than ``left_min_words`` words or less than ``left_min_share`` of its words remain is
     depleted.  ``kept`` is false for a failed base or a depleted document.  New columns: those of
     ``base_statistics``, clean_text, n_lines_removed, n_words_left, kept; they replace columns of
-    the same name.  A null text has no words and fails; null is a host of its own; every row is a
+    the same name in any case, and other columns may have any name.  A null text has no words and fails; null is a host of its own; every row is a
     document of its own; an empty table gives an empty table.
     """
     names = ["clean_text", "n_lines_removed", "n_words_left", "kept"]
-    source = docs.select(*[name for name in docs.columns if name not in names])
+    source = numbered(docs)
+    text, host = (f"_in{place(docs, name)}" for name in (text, host))
     shared = shared_lines(source, min_docs=line_min_docs, share=line_max_share, text=text, host=host)
     rows = with_shared_lines(base_statistics(source, text), shared, host)
     body = text_of(text)
@@ -124,8 +126,10 @@ def quality_rules(
     left = F.when(F.col("_lines").isNull(), F.col("n_words")).otherwise(
         F.regexp_count("clean_text", F.lit(WORD)).cast("long")
     )
-    rows = rows.withColumn("n_words_left", left).drop("_lines")
+    rows = rows.withColumn("n_words_left", left)
     depleted = (F.col("n_words_left") < left_min_words) | (
         F.col("n_words_left") < F.lit(left_min_share) * F.col("n_words")
     )
-    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    names = BASE + names
+    return rows.select(*restored(docs, names), *names)
