@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.llm.decontam import decontaminate
+from codecorpus.llm.frames import numbered, place, restored
 from codecorpus.llm.line_dedup import site_line_dedup
 from codecorpus.llm.mixing import mix, take_copies
 from codecorpus.llm.quality import quality_rules
@@ -49,10 +50,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = near_duplicates(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Join and duplicates both go by the id as text, empty for null, so texts are shuffled once.
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    first = first.select(key.alias("_id")).distinct()
-    rows = docs.withColumns({"_id": key, "_digest": F.xxhash64("text")}).join(first, "_id", "left_semi")
-    return rows.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    def key(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+    first = first.select(key("doc_id").alias("_id")).distinct()
+    own_id, text = (f"_in{place(docs, name)}" for name in ("doc_id", "text"))
+    rows = numbered(docs).withColumns({"_id": key(own_id), "_digest": F.xxhash64(text)})
+    rows = rows.join(first, "_id", "left_semi").dropDuplicates(["_id", "_digest"])
+    return rows.select(*restored(docs, []))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
