@@ -60,6 +60,7 @@ _TOKEN = re.compile(
 _CLOSED = re.compile(r"(?:-->|</[a-z]+\s*>)\Z|\A<[!?](?!--)", re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_MODIFIER = re.compile(r"(?:^|[-_])(?:has|no|with|without)[-_].*")
 _SPACE = re.compile(r"\s+")
 
 
@@ -111,9 +112,15 @@ def _cues(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
                 aside |= value in ASIDE_ROLES
                 main |= value in ("main", "article")
                 continue
-            names = set(_NAME.findall(value))
+            names, known = set(), set()
+            for token in value.split():
+                # "has-sidebar" and "page-with-banner" tell what else there is, not what this is.
+                parts = set(_NAME.findall(_MODIFIER.sub("", token)))
+                names |= parts
+                # Of an article only a name that says nothing else makes it something beside it.
+                if tag not in MAIN_TAGS or parts <= ASIDE_NAMES | MAIN_NAMES:
+                    known |= parts & ASIDE_NAMES
             # A page header is beside the text; the header of an article holds its title.
-            known = names & ASIDE_NAMES
             aside |= bool(known - {"header"}) or (bool(known) and not in_main)
             main |= bool(names & MAIN_NAMES) and not known
     if tag in ("html", "body"):

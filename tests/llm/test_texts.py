@@ -290,6 +290,30 @@ def test_page_of_many_parts(table, cut):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "element",
+    ['div class="layout has-sidebar"', 'article class="post no-comments"', 'div id="page-with-banner"',
+     'article class="share-price-news"'],
+)
+def test_names_of_layouts_do_not_lose_articles(element):
+    body = "The council met on Monday to talk about the bridge, which is to open next year after a delay. "
+    inner = f"<h1>New bridge</h1><p>{body * 2}</p><p>{body * 3}</p>"
+    page = f'<body><nav><a href="/">Home</a></nav><{element}>{inner}</{element.split()[0]}></body>'
+    want = "\n".join(["New bridge", (body * 2).strip(), (body * 3).strip()])
+    assert html_text.main_text(page, html_text.train_tree()) == want
+
+
+@pytest.mark.parametrize("element", ['div class="sidebar"', 'article class="comment-body"', 'div id="site-footer"'])
+def test_names_of_what_surrounds_articles_still_count(element):
+    body = "I read this twice and I still think that the whole plan is far too expensive for us. "
+    page = (
+        f"<body><article><h1>Title</h1><p>{body * 3}</p></article>"
+        f"<{element}><p>{body}</p></{element.split()[0]}></body>"
+    )
+    text = html_text.main_text(page, html_text.train_tree())
+    assert text == "\n".join(["Title", (body * 3).strip()])
+
+
 def test_long_broken_page_takes_linear_time():
     text = html_text.main_text('<p class="' * 20_000 + "word " * 20_000, html_text.train_tree())
     assert isinstance(text, str)
