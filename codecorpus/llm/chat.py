@@ -80,29 +80,39 @@ def path_hash(paths: Column) -> Column:
 
 
 def field_paths(value: Column) -> Column:
-    """Field paths of a variant, down to objects in an array in an object.
+    """Field paths of a variant: fields, fields of objects in them and of objects in their arrays.
 
-    Deeper levels do not tell the known layouts apart and are left out.  A string in an array has
-    no fields; a null record has no paths.
+    What is nested below that ends its path with its whole schema, so layouts that differ at any
+    depth differ in their paths.  An empty array gives the path ``name[]``, an array of anything but
+    objects that path with its schema.  A null record has no paths.
     """
+    none = F.array().cast("array<string>")
     top = F.try_variant_get(value, "$", "map<string,variant>")
-    own = F.coalesce(F.map_keys(top), F.array().cast("array<string>"))
+    own = F.coalesce(F.map_keys(top), none)
+
+    def named(fields: Column) -> Column:
+        def one(entry: Column) -> Column:
+            schema = F.schema_of_variant(entry["value"])
+            deep = schema.startswith("OBJECT") | schema.startswith("ARRAY")
+            return F.concat(entry["key"], F.when(deep, F.concat(F.lit(":"), schema)).otherwise(""))
+
+        return F.transform(F.map_entries(fields), one)
 
     def below(key: Column, child: Column) -> Column:
-        fields = F.map_keys(F.try_variant_get(child, "$", "map<string,variant>"))
+        fields = named(F.try_variant_get(child, "$", "map<string,variant>"))
         items = F.try_variant_get(child, "$", "array<map<string,variant>>")
-        inner = F.flatten(F.transform(items, F.map_keys))
+        inner = F.array_distinct(F.flatten(F.transform(items, named)))
         dotted = F.transform(fields, lambda name: F.concat(key, F.lit("."), name))
-        listed = F.transform(
-            F.array_distinct(inner), lambda name: F.concat(key, F.lit("[]."), name)
-        )
-        return F.concat(
-            F.coalesce(dotted, F.array().cast("array<string>")),
-            F.coalesce(listed, F.array().cast("array<string>")),
-        )
+        listed = F.transform(inner, lambda name: F.concat(key, F.lit("[]."), name))
+        schema = F.schema_of_variant(child)
+        odd = items.isNull() | F.exists(items, lambda item: item.isNull())
+        others = F.when(odd, F.array(F.concat(key, F.lit("[]:"), schema)))
+        others = others.when(F.size(items) == 0, F.array(F.concat(key, F.lit("[]"))))
+        others = F.when(schema.startswith("ARRAY"), others)
+        return F.concat(F.coalesce(dotted, none), F.coalesce(listed, none), F.coalesce(others, none))
 
     nested = F.flatten(F.map_values(F.transform_values(top, below)))
-    return F.concat(own, F.coalesce(nested, F.array().cast("array<string>")))
+    return F.concat(own, F.coalesce(nested, none))
 
 
 def without_texts(record: Column) -> Column:
@@ -155,8 +165,8 @@ def canonical_turns(
     """``records`` with layout, schema_hash and turns (array of role and text).
 
     The hash of the record's field paths picks the mapping.  A record that is null, no JSON, or of
-    an unknown layout has null for layout and turns, so that callers can count and repair it.  A
-    null role or text becomes empty.  The new columns replace columns of the same name; an empty
+    an unknown layout has null for layout and turns, so that callers can count and repair it.  An
+    empty array of messages is a conversation of no turns.  A null role or text becomes empty.  The new columns replace columns of the same name; an empty
     table gives an empty table.
     """
     names = ["layout", "schema_hash", "turns"]
@@ -169,6 +179,9 @@ def canonical_turns(
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for mapping in mappings:
         is_it = F.col("schema_hash") == path_hash(F.array(*[F.lit(p) for p in mapping.paths]))
+        if mapping.messages is not None:
+            empty = F.array(F.lit(mapping.messages), F.lit(f"{mapping.messages}[]"))
+            is_it |= F.col("schema_hash") == path_hash(empty)
         layout = F.when(is_it, F.lit(mapping.name)).otherwise(layout)
         whole = _turns(F.col(record), mapping, _long_field)
         turns = (
