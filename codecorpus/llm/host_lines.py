@@ -1,9 +1,9 @@
 """Lines that many documents of one host share: counts, and texts without those lines.
 
-Documents of a host are counted map-side first, so a host with a third of all documents is no
-heavier than others.  A line is reported only if more than ``share`` of its host's documents hold
-it, so a host with ``d`` lines per document on average has at most ``d / share`` such lines: that
-bounds the array that goes with each host.
+A document is a distinct pair of id and text: rows that repeat are taken together first, spread by
+document.  Documents of a host are then counted map-side, so a host with a third of all documents is
+no heavier than others.  What is shared goes to the documents as a short list per host where its
+measured size allows that, else by joins on salted (host, line); both give the same lines.
 """
 
 from __future__ import annotations
@@ -11,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.functions.rows import unnest
-from codecorpus.session import broadcast_if_small, stored
+from codecorpus.functions.rows import computed, unnest
+from codecorpus.session import stored
 
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shared lines go to their documents as one list per host, broadcast, if no list is longer than
+#: ``LIST`` and all lists together hold at most ``LISTED`` hashes; otherwise they are joined by line.
+LIST = 256
+LISTED = 500_000
+#: Parts that the documents of one (host, line) are split into when shared lines are joined by line.
+SALTS = 64
 
 
 def text_of(column: Column | str) -> Column:
@@ -41,48 +47,107 @@ def lines_of(text: Column) -> Column:
 
 
 def shared_lines(
-    docs: DataFrame, *, min_docs: int, share: float, text: str = "text", host: str = "source"
+    docs: DataFrame,
+    *,
+    min_docs: int,
+    share: float,
+    max_docs: int | None = None,
+    text: str = "text",
+    host: str = "source",
+    doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Per host (null is a host) an array of hashes of lines in too many of its documents.
+    """Hashes of the lines in too many documents of their host (null is a host): _host, _line.
 
     Those are lines in at least ``min_docs`` documents and in more than ``share`` of the host's
-    documents.  Every row is a document.  Columns: ``_host``, ``_lines``.
+    documents, and, if ``max_docs`` is given, all lines in more documents than that.  Rows of one
+    host with the same id (null is an id) and the same text are one document.
     """
-    source = docs.select(F.col(host).alias("_host"), text_of(text).alias("_text"))
-    lines = F.filter(lines_of(F.col("_text")), has_word)
+    body = text_of(text)
+    lines = F.filter(lines_of(body), has_word)
     hashes = F.array_distinct(F.transform(lines, line_hash))
-    counts = unnest(source, ["_host"], hashes, "_line").groupBy("_host", "_line").count()
-    totals = source.groupBy("_host").agg(F.count(F.lit(1)).alias("_docs"))
-    totals = totals.withColumnRenamed("_host", "_total_host")
-    common = counts.where(F.col("count") >= min_docs).join(
-        totals,
-        F.col("_host").eqNullSafe(F.col("_total_host"))
-        & (F.col("count") > F.lit(share) * F.col("_docs")),
+    rows = docs.select(
+        F.col(host).alias("_host"), F.col(doc_id).alias("_id"), F.xxhash64(body).alias("_digest"),
+        # The null at the end counts the documents of the host.
+        F.concat(hashes, F.array(F.lit(None).cast("long"))).alias("_hashes"),
+    )
+    lines = unnest(rows.distinct(), ["_host"], "_hashes", "_line")
+    counts = lines.groupBy("_host", "_line").count()
+    counts = stored(counts.where(F.col("_line").isNull() | (F.col("count") >= min_docs)))
+    totals = counts.where(F.col("_line").isNull()).select(
+        F.col("_host").alias("_total_host"), F.col("count").alias("_docs")
     )
-    return common.groupBy("_host").agg(F.collect_list("_line").alias("_lines"))
+    too_many = F.col("count") > F.lit(share) * F.col("_docs")
+    if max_docs is not None:
+        too_many |= F.col("count") > max_docs
+    joined = counts.where(F.col("_line").isNotNull()).join(
+        totals, F.col("_host").eqNullSafe(F.col("_total_host"))
+    )
+    return joined.where(too_many).select("_host", "_line")
 
 
-def with_shared_lines(docs: DataFrame, shared: DataFrame, host: str = "source") -> DataFrame:
-    """``docs`` with the column ``_lines``: what ``shared_lines`` found for the host, or null.
+def with_shared_lines(
+    docs: DataFrame, shared: DataFrame, *, text: str = "text", host: str = "source"
+) -> DataFrame:
+    """``docs`` with the column ``_lines``: hashes of shared lines of the host, or null for none.
 
-    The table of hosts is stored and counted; it is broadcast if small, otherwise Spark joins by
-    host and splits the partitions of large hosts.
+    All hashes of ``_lines`` are of shared lines, and every shared line of the document is among
+    them.  Joined by line, distinct (host, text) stand for their rows, since they decide the answer.
     """
-    small = broadcast_if_small(stored(shared))
-    return docs.join(small, docs[host].eqNullSafe(small["_host"]), "left").drop("_host")
-
-
-def without_lines(text: Column, hashes: Column) -> Column:
-    """The text without the lines whose hash is given; unchanged where ``hashes`` is null."""
-    kept = F.filter(
-        lines_of(text), lambda line: ~(has_word(line) & F.array_contains(hashes, line_hash(line)))
+    shared = stored(shared)
+    lists = shared.groupBy("_host").agg(F.collect_list("_line").alias("_lines"))
+    sizes = shared.groupBy("_host").count().agg(F.max("count"), F.sum("count")).first()
+    if (sizes[0] or 0) <= LIST and (sizes[1] or 0) <= LISTED:
+        return docs.join(
+            F.broadcast(lists), docs[host].eqNullSafe(lists["_host"]), "left"
+        ).drop("_host")
+    body = text_of(text)
+    digests = {"_digest": F.xxhash64(body), "_digest2": F.xxhash64(body, F.lit(1))}
+    hashes = F.array_distinct(F.transform(F.filter(lines_of(body), has_word), line_hash))
+    texts = docs.select(
+        F.col(host).alias("_host"), *[value.alias(name) for name, value in digests.items()],
+        hashes.alias("_hashes"),
+    )
+    key = ["_host", *digests]
+    own = unnest(texts.distinct(), key, "_hashes", "_line")
+    own = own.withColumn("_salt", F.pmod("_digest", F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    spread = shared.select(
+        F.col("_host").alias("_shared_host"), F.col("_line").alias("_shared_line"),
+        salts.alias("_shared_salt"),
+    )
+    hits = own.join(
+        spread,
+        own["_host"].eqNullSafe(spread["_shared_host"])
+        & (own["_line"] == spread["_shared_line"])
+        & (own["_salt"] == spread["_shared_salt"]),
+        "left_semi",
     )
-    return F.when(hashes.isNull(), text).otherwise(F.array_join(kept, "\n"))
-
-
-def n_lines_shared(text: Column, hashes: Column) -> Column:
-    """How many lines of the text have one of the hashes."""
-    hit = F.filter(
-        lines_of(text), lambda line: has_word(line) & F.array_contains(hashes, line_hash(line))
+    hits = hits.groupBy(*key).agg(F.collect_list("_line").alias("_lines"))
+    found = hits.toDF("_hit_host", "_hit_digest", "_hit_digest2", "_lines")
+    rows = docs.withColumns(digests)
+    return rows.join(
+        found,
+        rows[host].eqNullSafe(found["_hit_host"])
+        & (rows["_digest"] == found["_hit_digest"])
+        & (rows["_digest2"] == found["_hit_digest2"]),
+        "left",
+    ).drop("_digest", "_digest2", "_hit_host", "_hit_digest", "_hit_digest2")
+
+
+def without_lines(rows: DataFrame, text: str, removed: str) -> DataFrame:
+    """``rows`` with clean_text, the text without the lines of ``_lines``, and how many these are.
+
+    Every line is hashed once.  Where ``_lines`` is null the text is unchanged, empty for null.
+    """
+    body, hashes = text_of(text), F.col("_lines")
+    kept = F.filter(
+        lines_of(body), lambda line: ~(has_word(line) & F.array_contains(hashes, line_hash(line)))
     )
-    return F.when(hashes.isNull(), F.lit(0)).otherwise(F.size(hit)).cast("long")
+    rows = computed(rows, _kept=F.when(hashes.isNotNull(), kept))
+    n_removed = F.size(lines_of(body)) - F.size("_kept")
+    return rows.withColumns(
+        {
+            "clean_text": F.when(hashes.isNull(), body).otherwise(F.array_join("_kept", "\n")),
+            removed: F.when(hashes.isNull(), F.lit(0)).otherwise(n_removed).cast("long"),
+        }
+    ).drop("_kept")

@@ -85,7 +85,7 @@ cover as (
 ),{_LINES},
 common as (
   select counts.source, k from counts join totals on counts.source is not distinct from totals.source
-  where n >= 20 and n > 0.2 * docs
+  where n > 10000 or (n >= 20 and n > 0.2 * docs)
 ),
 marked as (
   select l.*, exists (

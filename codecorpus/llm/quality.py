@@ -15,7 +15,6 @@ from codecorpus.llm.host_lines import (
     WORD,
     has_word,
     lines_of,
-    n_lines_shared,
     shared_lines,
     text_of,
     with_shared_lines,
@@ -29,6 +28,8 @@ MIN_WORDS = 10
 #: Limits of a line: documents of its host that hold it, and their share of the host's documents.
 LINE_MIN_DOCS = 20
 LINE_MAX_SHARE = 0.2
+#: Documents of its host above which a line goes, whatever their share.
+LINE_MAX_DOCS = 10_000
 #: A document is depleted if fewer words, or a smaller share of its words, remain.
 LEFT_MIN_WORDS = 10
 LEFT_MIN_SHARE = 0.3
@@ -97,32 +98,34 @@ def quality_rules(
     *,
     text: str = "text",
     host: str = "source",
+    doc_id: str = "doc_id",
     line_min_docs: int = LINE_MIN_DOCS,
     line_max_share: float = LINE_MAX_SHARE,
+    line_max_docs: int = LINE_MAX_DOCS,
     left_min_words: int = LEFT_MIN_WORDS,
     left_min_share: float = LEFT_MIN_SHARE,
 ) -> DataFrame:
     """``docs`` with base statistics, the text without shared lines, and the verdict.
 
-    A line (compared in lower case with single spaces) in at least ``line_min_docs`` documents and
-    more than ``line_max_share`` of the documents of its host is removed.  A document of which
-    fewer than ``left_min_words`` words or less than ``left_min_share`` of its words remain is
-    depleted.  ``kept`` is false for a failed base or a depleted document.  New columns: those of
-    ``base_statistics``, clean_text, n_lines_removed, n_words_left, kept; they replace columns of
-    the same name in any case, and other columns may have any name.  A null text has no words and fails; null is a host of its own; every row is a
-    document of its own; an empty table gives an empty table.
+    A line (compared in lower case with single spaces) is removed if more than ``line_max_docs``
+    documents of its host hold it, or at least ``line_min_docs`` documents that are more than
+    ``line_max_share`` of the host's.  A document of which fewer than ``left_min_words`` words or
+    less than ``left_min_share`` of its words remain is depleted.  ``kept`` is false for a failed
+    base or a depleted document.  New columns: those of ``base_statistics``, clean_text,
+    n_lines_removed, n_words_left, kept; they replace columns of the same name in any case, and
+    other columns may have any name.  A null text has no words and fails; null is a host of its own;
+    rows of one host with the same id and text are one document in the counts, and each gets its
+    result; an empty table gives an empty table.
     """
     names = ["clean_text", "n_lines_removed", "n_words_left", "kept"]
     source = numbered(docs)
-    text, host = (f"_in{place(docs, name)}" for name in (text, host))
-    shared = shared_lines(source, min_docs=line_min_docs, share=line_max_share, text=text, host=host)
-    rows = with_shared_lines(base_statistics(source, text), shared, host)
-    body = text_of(text)
-    rows = computed(
-        rows,
-        clean_text=without_lines(body, F.col("_lines")),
-        n_lines_removed=n_lines_shared(body, F.col("_lines")),
-    )
+    text, host, doc_id = (f"_in{place(docs, name)}" for name in (text, host, doc_id))
+    shared = shared_lines(
+        source, min_docs=line_min_docs, share=line_max_share, max_docs=line_max_docs,
+        text=text, host=host, doc_id=doc_id,
+    )
+    rows = with_shared_lines(base_statistics(source, text), shared, text=text, host=host)
+    rows = without_lines(rows, text, "n_lines_removed")
     left = F.when(F.col("_lines").isNull(), F.col("n_words")).otherwise(
         F.regexp_count("clean_text", F.lit(WORD)).cast("long")
     )

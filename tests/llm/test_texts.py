@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codecorpus.llm import chat, decontam, html_text, line_dedup, mixing, quality
+from codecorpus.llm import chat, decontam, host_lines, html_text, line_dedup, mixing, quality
 from codecorpus.llm.labelled_pages import LABELLED_PAGES
 
 
@@ -135,6 +135,29 @@ def test_site_line_dedup(table):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("by_line", [False, True])
+def test_limits_count_distinct_documents(table, monkeypatch, by_line):
+    """Lists per host and joins by line give the same; repeated rows are one document."""
+    if by_line:
+        monkeypatch.setattr(host_lines, "LIST", 0)
+    own = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(60)]
+    docs = [(k, f"{own[k]}\nshared by six" if k < 6 else own[k], "a") for k in range(50)]
+    docs += [(50, f"{own[50]}\nonly in one", "a")] * 9
+    docs += [(51, f"{own[51]}\nshared by six", None), (52, f"{own[52]}\nshared by six", None)]
+    docs += [(None, own[53], None), (None, own[53], None), (None, None, None), (55, "", "a")]
+    docs = table(docs, "doc_id long, text string, source string")
+    options = {"line_min_docs": 4, "line_max_share": 0.3}
+    rows = quality.quality_rules(docs, line_max_docs=5, **options).collect()
+    assert len(rows) == 65
+    assert {r.doc_id for r in rows if r.n_lines_removed} == {0, 1, 2, 3, 4, 5}
+    assert all(r.clean_text == own[r.doc_id] for r in rows if r.n_lines_removed)
+    rows = quality.quality_rules(docs, line_max_docs=6, **options).collect()
+    assert not any(r.n_lines_removed for r in rows)
+    # Two of four pages without a host share a line: the repeated page counts once.
+    pages = line_dedup.site_line_dedup(docs, max_ratio=0.45, min_pages=2).collect()
+    assert {r.doc_id for r in pages if r.n_dropped} == {51, 52}
+
+
 def test_columns_of_clashing_names(table):
     docs = table(host_corpus(), "doc_id long, text string, source string")
     names = ["_lines", "_host", "_words", "_Text", "N_WORDS", "Clean_text", "_key", "_copies"]
@@ -212,6 +235,33 @@ def test_layouts_by_fingerprint(table, record, layout, turns):
     assert (rows[0].turns and [(t.role, t.text) for t in rows[0].turns]) == turns
 
 
+@pytest.mark.parametrize(
+    "record",
+    [
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"hi"}]}]}',
+        '{"messages":[{"role":{"a":1},"content":"hi"}]}',
+        '{"messages":[{"role":"user","content":"hi"},{"role":"user","content":{"a":{"b":[1]}}}]}',
+        '{"messages":["hi"]}',
+        '{"messages":[[{"role":"user","content":"hi"}]]}',
+        '{"messages":"hi"}',
+        '{"prompt":["a","b"],"response":"c"}',
+        '{"prompt":{"a":"b"},"response":"c"}',
+        '{"prompt":[],"response":"c"}',
+    ],
+)
+def test_deeper_layouts_are_not_taken_for_known_ones(table, record):
+    row = chat.canonical_turns(table([(1, record)], "id long, record string")).first()
+    assert row.layout is None and row.turns is None
+
+
+def test_conversation_of_no_turns(table):
+    rows = table([(1, '{"messages":[]}'), (2, '{"turns": [ ]}')], "id long, record string")
+    found = chat.sure_turns(chat.canonical_turns(rows)).orderBy("id").collect()
+    assert [(r.layout, r.turns) for r in found] == [("messages", []), ("turns", [])]
+    formatted = chat.format_turns(chat.canonical_turns(rows), "id")
+    assert {r.turns == [] for r in chat.read_formatted(formatted, "id").collect()} == {True}
+
+
 def test_bad_records_and_wrong_masks(table):
     records = table([(1, "no json"), (2, None)], "k int, record string")
     rows = chat.format_turns(chat.canonical_turns(records), "k")
