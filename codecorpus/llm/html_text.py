@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.llm.labelled_pages import LABELLED_PAGES
+from codecorpus.llm.made_pages import made_pages
 
 #: Labelled blocks that the tree is trained on at most.
 MAX_LABELLED = 10_000
+#: Pages made by rule that the tree is trained on beside those made by hand, and their seed.
+MADE_PAGES, MADE_SEED = 400, 1
 
 #: Elements that stand in the flow of text and do not end a block.
 INLINE = frozenset(
@@ -73,8 +76,9 @@ class Block:
     n_link_words: int
     aside: bool
     main: bool
-    heading: bool
+    heading: int  # its level, 0 for none
     listed: bool
+    article: bool
 
 
 @dataclass
@@ -83,9 +87,11 @@ class _Builder:
     parts: list[tuple[str, bool]] = field(default_factory=list)
 
     def flush(self, stack: list[tuple[str, bool, bool]]) -> None:
-        text = _SPACE.sub(" ", unescape("".join(part for part, _ in self.parts))).strip()
+        # A reference does not go on beyond a tag, so parts are decoded one by one.
+        parts = [(unescape(part), in_link) for part, in_link in self.parts]
+        text = _SPACE.sub(" ", "".join(part for part, _ in parts)).strip()
         if text:
-            linked = sum(len(unescape(part).split()) for part, in_link in self.parts if in_link)
+            linked = sum(len(part.split()) for part, in_link in parts if in_link)
             n_words = len(text.split())
             tags = [tag for tag, _, _ in stack]
             self.blocks.append(
@@ -95,8 +101,9 @@ class _Builder:
                     min(linked, n_words),
                     any(aside for _, aside, _ in stack),
                     any(main for _, _, main in stack),
-                    any(re.fullmatch("h[1-6]", tag) for tag in tags),
+                    max((int(tag[1]) for tag in tags if re.fullmatch("h[1-6]", tag)), default=0),
                     "li" in tags,
+                    not MAIN_TAGS.isdisjoint(tags),
                 )
             )
         self.parts.clear()
@@ -187,7 +194,7 @@ def blocks_of(html: str) -> list[Block]:
 
 FEATURES = (
     "n_words", "link_density", "words_before", "density_before", "words_after", "density_after",
-    "aside", "main", "heading", "listed", "page_has_main",
+    "aside", "main", "heading", "listed", "page_has_main", "article", "page_has_article",
 )
 
 
@@ -201,9 +208,10 @@ def features(blocks: list[Block]) -> np.ndarray:
     table[:, 0], table[:, 1] = words, density
     table[1:, 2], table[1:, 3] = words[:-1], density[:-1]
     table[:-1, 4], table[:-1, 5] = words[1:], density[1:]
-    for column, name in ((6, "aside"), (7, "main"), (8, "heading"), (9, "listed")):
+    for column, name in ((6, "aside"), (7, "main"), (8, "heading"), (9, "listed"), (11, "article")):
         table[:, column] = [getattr(b, name) for b in blocks]
     table[:, 10] = any(b.main and not b.aside for b in blocks)
+    table[:, 12] = any(b.article and not b.aside for b in blocks)
     return table
 
 
@@ -217,7 +225,7 @@ class DecisionTree:
     high: list[int] = field(default_factory=list)
     label: list[bool] = field(default_factory=list)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, max_depth: int = 8, min_rows: int = 2) -> DecisionTree:
+    def fit(self, x: np.ndarray, y: np.ndarray, max_depth: int = 12, min_rows: int = 2) -> DecisionTree:
         """Splits by the largest drop of Gini impurity; ties go to the first feature."""
         self._grow(x, y, max_depth, min_rows)
         return self
@@ -276,7 +284,10 @@ def labelled_blocks(pages: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[np.
     return np.concatenate(x)[:MAX_LABELLED], np.array(y[:MAX_LABELLED])
 
 
-def train_tree(pages: tuple[tuple[str, tuple[str, ...]], ...] = LABELLED_PAGES) -> DecisionTree:
+def train_tree(pages: tuple[tuple[str, tuple[str, ...]], ...] | None = None) -> DecisionTree:
+    """The tree of labelled pages: unless given, those made by hand and those made by rule."""
+    if pages is None:
+        pages = LABELLED_PAGES + made_pages(MADE_PAGES, MADE_SEED)
     return DecisionTree().fit(*labelled_blocks(pages))
 
 

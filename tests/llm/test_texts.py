@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codecorpus.llm import chat, decontam, host_lines, html_text, line_dedup, mixing, quality
+from codecorpus.llm import (
+    chat, decontam, host_lines, html_text, line_dedup, made_pages, mixing, quality,
+)
 from codecorpus.llm.labelled_pages import LABELLED_PAGES
 
 
@@ -315,6 +317,31 @@ def test_held_out_pages():
     assert right / total > 0.85
 
 
+VOCABULARY = [f"{a}{b}" for a in ("ka", "lo", "min", "strat", "e") for b in ("r", "ben", "tu", "ding", "o")]
+
+
+@pytest.mark.parametrize("style", made_pages.STYLES)
+def test_pages_made_of_other_words(style):
+    """Blocks of pages that the tree has not seen, in other words and by another seed."""
+    tree = html_text.train_tree()
+    x, y = html_text.labelled_blocks(made_pages.made_pages(60, 77, VOCABULARY, [style]))
+    got = tree.predict(x)
+    assert (got & y).sum() > 0.9 * y.sum()
+    assert (got & y).sum() > 0.88 * got.sum()
+
+
+def test_neighbours_decide_where_names_say_nothing():
+    tree = html_text.train_tree()
+    x, y = html_text.labelled_blocks(made_pages.made_pages(60, 78, VOCABULARY, ["neutral"]))
+    blind = x.copy()
+    blind[:, 2:6] = 0
+    assert (tree.predict(blind) == y).mean() < (tree.predict(x) == y).mean() - 0.02
+
+
+def test_references_end_at_tags():
+    assert html_text.blocks_of("<p>x &am<b>p;</b> &lt;</p>")[0].text == "x &amp; <"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{a:b}</style>
 <script>var t="</p><p>no";</script></head><body class="post"><header>Site name</header>
 <nav><ul><li><a href="/x">x</a></li></ul></nav><!-- a > b --><div class="ad">Buy it.</div>
