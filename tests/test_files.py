@@ -204,3 +204,13 @@ def test_ignoring_moves_no_contents(raw, monkeypatch):
     assert kept.count() == 6
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_parts_follow_the_measured_size_of_texts_not_the_stored_bytes(spark, raw, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_BYTES", 1000)
+    files = corpus.build_files(raw(*[("a", f"f{i}.py", "x = 1\n" * 100) for i in range(20)]))
+    files.coalesce(1).write.parquet(str(tmp_path / "f"))
+    dealt = corpus.even(spark.read.parquet(str(tmp_path / "f")))
+    assert dealt.rdd.getNumPartitions() == 12 and dealt.count() == 20
+    assert corpus.spread(spark.range(0, 100, 1, 4), 10).rdd.getNumPartitions() == 10
+    assert corpus.spread(spark.range(0, 100, 1, 4), 50).rdd.getNumPartitions() == 4
