@@ -92,3 +92,22 @@ def test_no_edges(spark):
     edges = spark.createDataFrame([], "repo string, source string, target string")
     assert graph.import_components(edges).collect() == []
     assert graph.circular_deps(edges).collect() == []
+
+
+def test_many_edges_are_joined_by_shuffles(spark, monkeypatch):
+    """Keys shrink when stored; a broadcast chosen by stored size would send them to the driver."""
+    imports = spark.createDataFrame(
+        [("a", "x.py", 0, "y", ["f"], False)],
+        "repo string, path string, pos int, module string, names array<string>, is_external boolean",
+    )
+    files = spark.createDataFrame([("a", "y.py")], "repo string, path string")
+    edges = graph.resolve_imports(imports, files)
+    assert [(r.source, r.target) for r in edges.collect()] == [("x.py", "y.py")]
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "EDGES_TO_BROADCAST", 1)
+    few = spark.createDataFrame([("a", "x"), ("a", "y")], "repo string, node string")
+    links = spark.createDataFrame([("a", "x", "y"), ("a", "y", "x")], "repo string, source string, target string")
+    by = graph._joinable(links)
+    joined = links.join(by(few.withColumnRenamed("node", "source")), ["repo", "source"])
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert [(r.nodes, r.cycle) for r in graph.circular_deps(links).collect()] == [(2, ["x", "y", "x"])]
