@@ -214,3 +214,13 @@ def test_parts_follow_the_measured_size_of_texts_not_the_stored_bytes(spark, raw
     assert dealt.rdd.getNumPartitions() == 12 and dealt.count() == 20
     assert corpus.spread(spark.range(0, 100, 1, 4), 10).rdd.getNumPartitions() == 10
     assert corpus.spread(spark.range(0, 100, 1, 4), 50).rdd.getNumPartitions() == 4
+
+
+def test_texts_that_shrink_when_stored_are_dealt_by_their_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_BYTES", 1024 * 1024)
+    page = "if and or while " * 1024
+    spark.range(0, 640, 1, 1).select(F.lit(page).alias("text")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert corpus.spread(rows).rdd.getNumPartitions() <= 4
+    tasks = corpus.spread(rows, text="text").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 10 and max(n for _, n in tasks) <= 80
