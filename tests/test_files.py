@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from codecorpus.operators import history, lines, rules, stats
+from codecorpus.plans import adapters
 from codecorpus.sources import corpus
 
 
@@ -224,3 +225,12 @@ def test_texts_that_shrink_when_stored_are_dealt_by_their_length(spark, tmp_path
     assert corpus.spread(rows).rdd.getNumPartitions() <= 4
     tasks = corpus.spread(rows, text="text").groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) == 10 and max(n for _, n in tasks) <= 80
+
+
+def test_root_files_are_made_without_dealing_out_the_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adapters, "PARTS_PER_TASK", 1)
+    parts = spark.range(0, 500, 1, 1).selectExpr("id as p_partkey", "cast(id as int) as p_size", "'a b' as p_name")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    root = adapters.Tables(spark, str(tmp_path)).root()
+    assert "Repartition" not in root._jdf.queryExecution().optimizedPlan().toString()
+    assert root.select("repo").distinct().count() == 5
