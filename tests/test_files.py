@@ -234,3 +234,48 @@ def test_root_files_are_made_without_dealing_out_the_parts(spark, tmp_path, monk
     root = adapters.Tables(spark, str(tmp_path)).root()
     assert "Repartition" not in root._jdf.queryExecution().optimizedPlan().toString()
     assert root.select("repo").distinct().count() == 5
+
+
+def test_rows_of_the_log_that_repeat_are_settled_on_keys(spark, tmp_path):
+    """Repeated rows of all three tables; the long rows of the log are in no exchange of their own."""
+    tables = {
+        "part": spark.createDataFrame([(1, 3, "a b"), (1, 3, "c d"), (6, 3, "a b"), (6, 4, "a b"), (7, 1, "a b")],
+                                      "p_partkey long, p_size int, p_name string"),
+        "orders": spark.sql("select * from values (10L, 5L, timestamp'2020-01-01'), (10L, 5L, timestamp'2020-01-01'), "
+                            "(10L, 6L, timestamp'2020-01-01'), (11L, 5L, timestamp'2020-01-02') "
+                            "as t(o_orderkey, o_custkey, o_orderdate)"),
+        "lineitem": spark.createDataFrame([(10, 1, 1), (10, 1, 2), (10, 1, 3), (11, 6, 1), (11, 6, 1), (12, 7, 1), (11, 9, 2)],
+                                          "l_orderkey long, l_partkey long, l_linenumber int"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    log = adapters.Tables(spark, str(tmp_path)).commits()
+    rows = sorted((r.repo, r.sha, r.author, r.path, r.change_type) for r in log.collect())
+    assert rows == [
+        ("repo0", "10", "5", "pkg/m1.py", "A"), ("repo0", "10", "5", "pkg/m1.py", "M"),
+        ("repo0", "10", "6", "pkg/m1.py", "A"), ("repo0", "10", "6", "pkg/m1.py", "M"),
+        ("repo0", "11", "5", "src/m6.js", "A"), ("repo0", "11", "5", "src/m6.ts", "A"),
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = log.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [p for p in plan.splitlines() if "hashpartitioning" in p and "sha" in p]
+    recent = history.recent_files(log, 1)
+    assert [tuple(r) for r in recent.collect()] == [("repo0", "pkg/m1.py")]
+
+
+def test_recent_files_store_the_log_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(history, "stored", lambda df, made=history.stored: kept.append(made(df)) or kept[-1])
+    log = spark.createDataFrame(
+        [("r", "s1", "a", 1, "x", "M"), ("r", "s2", "a", 2, "y", "M"), ("r", "s3", "a", 3, "z", "A"),
+         ("r", "s2", "a", 2, "w", "M"), ("q", "s1", "b", 1, "x", "M")],
+        "repo string, sha string, author string, ts int, path string, change_type string",
+    )
+    recent = history.recent_files(log, 1)
+    assert {tuple(r) for r in recent.collect()} == {("r", "y"), ("r", "w"), ("q", "x")}
+    # What was modified, and the newest commits: the join reads both, and not the log.
+    assert [k.count() for k in kept] == [4, 2]
+    assert "LogicalRDD" not in recent._jdf.queryExecution().optimizedPlan().toString()
